@@ -419,9 +419,9 @@ def test_toxicity_edge_cases(spark):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.score_toxicity(docs, model)
     assert [r["toxicity"] for r in out.collect()] == [0.0] * len(EDGE_TEXTS) and out.columns[:-1] == docs.columns
-    rows = [(f"vile scum words here number {i}", 1) for i in range(90)] + [(f"plain good words here number {i}", 0) for i in range(90)]
+    rows = [(f"worthless disgusting words here number {i}", 1) for i in range(90)] + [(f"plain good words here number {i}", 0) for i in range(90)]
     model = toxicity.train(rows).open()
-    assert model.score("you scum and vile") > 0.5 > model.score("good words") and model.score(None) < 0.5 and model.score("") < 0.5
+    assert model.score("you disgusting and worthless one") > 0.5 > model.score("good words") and model.score(None) < 0.5 and model.score("") < 0.5
 
 
 def test_language_held_out(spark):
