@@ -11,9 +11,11 @@ needed (prefix, size and position filters; none loses a pair).
    that pass the filters, one held by more gives a star around one set and a chain in order of size.
 3. The candidate pairs are verified by vertical partitioning: both sets are cut, by pivots of the global
    order, into FRAGMENTS; overlaps are counted per fragment, and summed per pair.
-4. Linked sets are joined to components (large star, small star). Where a frequent shingle still joins
-   sets of different components, exactly the pairs across components that the star left out are verified,
-   and the components joined again. So no link between components is missed, and no group's pairs are all made.
+4. Linked sets are joined to components (large star, small star). Where long lists still hold sets of
+   different components, these lists' sets form regions; all of a region but its largest component is
+   compared, block by block, with the whole region over an index of the block's shingles, again fragment
+   by fragment, and the components are joined again. Only links that join components come out, so no
+   link between components is missed, and no group's pairs are all made.
 
 Edge cases: null texts, empty texts and texts of white space have an empty set and link with nothing; a text of
 fewer words than n has one shingle, the whole sequence; rows may repeat, and a doc_id may recur with
@@ -44,8 +46,9 @@ BLOOM_BITS = 25
 SMALL_LIST, CHAIN = 8, 2
 #: Postings of a bucket, and of a task before it sends them on.
 BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 2_000_000
-#: Spokes of a hub that one task compares at a time.
+#: Spokes of a hub that one task compares at a time, and shingles in a block of a region.
 HUB_SPOKES = 64
+BLOCK_SHINGLES = 1_000_000
 POSTING = np.dtype([("t", "<u4"), ("s", "<i8"), ("n", "<u4"), ("p", "<u2")])
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 NULL_ID = -(2**63)
@@ -252,14 +255,13 @@ def candidates(posted: DataFrame) -> DataFrame:
 
     def pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, lists = list_pairs(np.frombuffer(b"".join(pdf["data"]), dtype=POSTING))
-        lists = {i: (s, n) for i, s, n in lists}
-        pairs = pd.DataFrame({"a": a, "b": b}, dtype="Int64")
-        more = pd.DataFrame([(i, s.astype("<i8").tobytes(), n.astype("<u4").tobytes()) for i, (s, n) in lists.items()], columns=["gid", "sets", "sizes"])
-        out = pd.concat([pairs.reindex(columns=fields), more.reindex(columns=fields)], ignore_index=True) if len(more) else pairs.reindex(columns=fields)
-        for c in ("a", "b", "gid"):
-            out[c] = out[c].astype("Int64")
-        out[["sets", "sizes"]] = out[["sets", "sizes"]].astype(object).where(out[["sets", "sizes"]].notna(), None)
-        return out
+        lists = list({i: (i, s.astype("<i8").tobytes(), n.astype("<u4").tobytes()) for i, s, n in lists}.values())
+        blank = [None] * len(lists)
+        out = {k: pd.array([*x.tolist(), *blank], dtype="Int64") for k, x in (("a", a), ("b", b))}
+        blank = [None] * len(a)
+        out["gid"] = pd.array([*blank, *(x[0] for x in lists)], dtype="Int64")
+        out["sets"], out["sizes"] = (pd.Series([*blank, *(x[i] for x in lists)], dtype=object) for i in (1, 2))
+        return pd.DataFrame(out, columns=fields)
 
     return posted.groupBy("bucket").applyInPandas(pair_up, "a long, b long, gid long, sets binary, sizes binary")
 
@@ -303,6 +305,15 @@ def id_filter(ids: DataFrame, bits: int = BLOOM_BITS):
     return member
 
 
+def with_texts(seats: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """seats (sid, ...) with the text of their sets; a repeated row of docs comes as often as it is there."""
+    wanted = written(seats.join(reps, "sid"), "ngram-seats")
+    member = id_filter(wanted.select(F.col("doc_id").alias("i")).distinct())
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
+    texts = docs.select(ids, "text").filter(member("doc_id")).withColumn("th", F.xxhash64("text"))
+    return texts.join(wanted, ["doc_id", "th"]).drop("doc_id", "th")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, words: int = WORDS) -> DataFrame:
     """Pairs (a, b) at or over the threshold, by overlaps per fragment summed per pair.
 
@@ -315,26 +326,23 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, words: int
     degree = routed.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SPOKES).cast("int").alias("salts"))
     routed = written(routed.join(degree, "hub").select("hub", F.pmod(F.xxhash64("spoke"), "salts").cast("int").alias("salt"), "spoke"), "ngram-routes")
     seats = routed.select(F.col("spoke").alias("sid"), "hub", "salt").unionByName(routed.select(F.col("hub").alias("sid"), "hub", "salt").distinct())
-    wanted = written(seats.select("sid").distinct().join(reps, "sid").select("sid", "doc_id", "th"), "ngram-wanted")
-    member = id_filter(wanted.select(F.col("doc_id").alias("i")))
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
-    texts = docs.select(ids, "text").filter(member("doc_id")).withColumn("th", F.xxhash64("text"))
-    # a row that is repeated stands once
-    found = texts.join(wanted, ["doc_id", "th"]).groupBy("sid").agg(F.first("text").alias("text"))
-    seated = found.join(seats, "sid").repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("sid") != F.col("hub"))
+    seated = with_texts(seats, docs, reps).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("sid") != F.col("hub"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         o = Order(*order.value)
-        at, hub_set, hub_frag = None, None, None
+        at, hub_set, met = None, None, set()
         for b in batches:
             out = []
             for hub, salt, sid, text in zip(b["hub"].tolist(), b["salt"].tolist(), b["sid"].tolist(), b["text"]):
+                if at == (hub, salt) and sid in met:
+                    continue  # a repeated row
                 s = shingles(text, words)
                 if sid == hub:
-                    at, hub_set, hub_frag = (hub, salt), s, np.bincount(o.fragment(s), minlength=FRAGMENTS)
+                    at, hub_set, met = (hub, salt), s, {sid}
                     continue
                 if at != (hub, salt):
                     raise ValueError("a spoke came without its hub")
+                met.add(sid)
                 if min(len(s), len(hub_set)) * DEN < NUM * max(len(s), len(hub_set)):
                     continue
                 i = np.minimum(np.searchsorted(hub_set, s), len(hub_set) - 1)
@@ -363,11 +371,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         remove(edges.sparkSession, e)
         e = after
-    return e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("label"))
+    named = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
+    return named.unionByName(named.select(F.col("label").alias("node"), "label").distinct())
 
 
-def across_components(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of long lists' sets in different components, within the size filter."""
+def regions(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """sid, n, label, region of the sets in long lists that hold more than one component."""
     one = lists.groupBy("gid").agg(F.first(F.struct("sets", "sizes")).alias("l")).select("gid", "l.sets", "l.sizes")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,22 +387,79 @@ def across_components(lists: DataFrame, labels: DataFrame) -> DataFrame:
     rows = one.mapInPandas(unpack, "gid long, sid long, n long")
     rows = rows.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("gid", "sid", "n", F.coalesce("label", "sid").alias("label"))
     rows = written(rows, "ngram-lists")
-    split = rows.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("gid")
-    left = rows.join(split, "gid")
+    mixed_lists = rows.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("sid").alias("hub")).filter("x < y").select("gid", "hub")
+    held = rows.join(mixed_lists, "gid").select("sid", "n", "label", "hub").distinct()
+    held = written(held, "ngram-held")
+    region = components(held.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
+    return written(held.select("sid", "n", "label").distinct().join(region.select(F.col("node").alias("sid"), F.col("label").alias("region")), "sid"), "ngram-regions")
+
+
+def across_components(members: DataFrame, docs: DataFrame, reps: DataFrame, order, words: int = WORDS) -> DataFrame:
+    """Links (a, b) that join components within the regions; from each pair of blocks at most a spanning set of them."""
+    parts = shuffle_parts(members.sparkSession)
+    sizes = members.groupBy("region", "label").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    big = sizes.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("big"), F.max(F.struct("c", "label", "t"))["t"].alias("bt"), F.sum("t").alias("t"))
+    big = big.select("region", "big", *[F.ceil(x / BLOCK_SHINGLES).cast("int").alias(n) for n, x in (("rows", F.col("t")), ("cols", F.greatest(F.col("t") - F.col("bt"), F.lit(1))))])
+    at = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    all_ = members.join(big, "region")
+    base = all_.select("sid", "label", "region", at("rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(False).alias("asks"))
+    asks = all_.filter("label <> big").select("sid", "label", "region", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), at("cols").alias("col"), F.lit(True).alias("asks"))
+    seated = with_texts(base.unionByName(asks), docs, reps).repartition(parts, "region", "row", "col").sortWithinPartitions("region", "row", "col", "asks", "sid")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        o = Order(*order.value)
+        at, block, index, met = None, [], None, set()
 
-    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "sid"])
-        s, n, c = (pdf[k].to_numpy(np.int64) for k in ("sid", "n", "label"))
-        out = []
-        for i in range(len(s) - 1):
-            hi = np.searchsorted(n, DEN * n[i] // NUM, side="right")
-            j = np.flatnonzero(c[i + 1 : hi] != c[i]) + i + 1
-            if len(j):
-                out.append(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])], axis=1))
-        pair = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
+        def build():
+            """Per fragment: the block's shingles in ascending order, and whose they are."""
+            tokens = np.concatenate([s for _, _, s in block])
+            owner = np.repeat(np.arange(len(block)), [len(s) for _, _, s in block])
+            f = o.fragment(tokens)
+            out = []
+            for i in range(FRAGMENTS):
+                t, w = tokens[f == i], owner[f == i]
+                by = np.argsort(t, kind="stable")
+                out.append((t[by], w[by]))
+            return out, np.array([len(s) for _, _, s in block]), np.array([x for x, _, _ in block]), np.array([c for _, c, _ in block])
 
-    return left.groupBy("gid").applyInPandas(cross, "a long, b long").distinct()
+        for b in batches:
+            links = []
+            for sid, label, region, row, col, asks, text in zip(*(b[k].tolist() for k in ("sid", "label", "region", "row", "col", "asks", "text"))):
+                if at != (region, row, col):
+                    at, block, index, met, joined = (region, row, col), [], None, set(), {}
+                if (asks, sid) in met:
+                    continue  # a repeated row
+                met.add((asks, sid))
+                s = shingles(text, words)
+                if not asks:
+                    block.append((sid, label, s))
+                    continue
+                if not block:
+                    continue
+                index = index or build()
+                parts_, size, who, comp = index
+                f = o.fragment(s)
+                overlap = np.zeros(len(block), dtype=np.int64)
+                for i in range(FRAGMENTS):
+                    mine, (t, w) = s[f == i], parts_[i]
+                    lo, hi = np.searchsorted(t, mine, side="left"), np.searchsorted(t, mine, side="right")
+                    n = hi - lo
+                    if n.sum():
+                        overlap += np.bincount(w[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(block))
+                for j in np.flatnonzero((comp != label) & ((NUM + DEN) * overlap >= NUM * (size + len(s)))).tolist():
+                    x, y = find(joined, label), find(joined, int(comp[j]))
+                    if x != y:
+                        joined[max(x, y)] = min(x, y)
+                        links.append((min(sid, int(who[j])), max(sid, int(who[j]))))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return seated.select("sid", "label", "region", "row", "col", "asks", "text").mapInPandas(compare, "a long, b long").distinct()
+
+
+def find(parent: dict[int, int], x: int) -> int:
+    while parent.get(x, x) != x:
+        x = parent[x]
+    return x
 
 
 def link(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -413,10 +479,10 @@ def link(docs: DataFrame, words: int = WORDS) -> DataFrame:
     labels = written(components(edges), "ngram-labels")
     lists = found.filter("gid is not null").select("gid", "sets", "sizes")
     if lists.head(1):
-        more = written(across_components(lists, labels).join(pairs, ["a", "b"], "left_anti"), "ngram-across")
-        if more.head(1):
-            edges = edges.unionByName(verify(more, docs, reps, order, words))
-            labels = written(components(written(edges, "ngram-edges")), "ngram-labels")
+        members = regions(lists, labels)
+        if members.head(1):
+            more = across_components(members, docs, reps, order, words)
+            labels = written(components(written(edges.unionByName(more), "ngram-edges")), "ngram-labels")
     whole = reps.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
     least = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = written(whole.join(least, "label").select("sid", "label", "component_id"), "ngram-named")
