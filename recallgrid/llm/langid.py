@@ -129,7 +129,7 @@ def sample_rows(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = S
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(*docs.columns), F.lit(1_000_003)) / F.lit(1_000_003.0)
     rows = docs.filter(draw < share).select(F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"), F.col(lang_col).alias("l"))
-    return [(r["t"], r["l"]) for r in rows.toLocalIterator()]
+    return [(r["t"], r["l"]) for r in rows.collect()]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, per_lang: int = SAMPLE_DOCS) -> BitmaskFilter:

@@ -49,6 +49,8 @@ BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 2_000_000
 #: Spokes of a hub that one task compares at a time, and shingles in a block of a region.
 HUB_SPOKES = 64
 BLOCK_SHINGLES = 1_000_000
+#: Edges that one task joins to components; beyond, they are joined in rounds over all tasks.
+FEW_EDGES = 500_000
 POSTING = np.dtype([("t", "<u4"), ("s", "<i8"), ("n", "<u4"), ("p", "<u2")])
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 NULL_ID = -(2**63)
@@ -135,8 +137,10 @@ def scan_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "th", "sid", "n"])
             out["block"], out["cells"] = None, None
             yield out
-        size = 1 << BLOCK_BITS
-        blobs = [(i, zlib.compress(cells[i * size : (i + 1) * size].tobytes(), 1)) for i in range(len(cells) // size) if cells[i * size : (i + 1) * size].any()]
+        # per block of cells that counted anything: their places and counts
+        on = np.flatnonzero(cells)
+        cut = np.flatnonzero(np.diff(on >> BLOCK_BITS, prepend=-1))
+        blobs = [(int(x[0] >> BLOCK_BITS), zlib.compress((x & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes() + cells[x].astype("<u4").tobytes(), 1)) for x in np.split(on, cut[1:]) if len(x)]
         yield pd.DataFrame({"doc_id": None, "th": None, "sid": None, "n": None, "block": [i for i, _ in blobs], "cells": [x for _, x in blobs]})
 
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
@@ -149,13 +153,15 @@ def global_order(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << BLOCK_BITS, dtype=np.uint64)
         for c in pdf["cells"]:
-            total += np.frombuffer(zlib.decompress(c), dtype=np.uint32)
+            raw = zlib.decompress(c)
+            n = len(raw) // 6
+            total[np.frombuffer(raw[: 2 * n], dtype="<u2")] += np.frombuffer(raw[2 * n :], dtype="<u4")
         level = np.minimum(np.floor(4 * np.log2(total + 1.0)), 255).astype(np.uint8)
         weights = np.bincount(level, weights=total.astype(np.float64), minlength=256)
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "levels": [level.tobytes()], "weights": [weights.tobytes()]})
 
     levels, weights = np.zeros(1 << SKETCH_BITS, dtype=np.uint8), np.zeros(256)
-    for r in scanned.filter("block is not null").select("block", "cells").groupBy("block").applyInPandas(add, "block int, levels binary, weights binary").toLocalIterator():
+    for r in scanned.filter("block is not null").select("block", "cells").groupBy("block").applyInPandas(add, "block int, levels binary, weights binary").collect():
         levels[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["levels"], dtype=np.uint8)
         weights += np.frombuffer(r["weights"])
     return levels, weights
@@ -269,38 +275,36 @@ def candidates(posted: DataFrame) -> DataFrame:
 def id_filter(ids: DataFrame, bits: int = BLOOM_BITS):
     """A Bloom filter of fixed size over a long column `i`, broadcast; past its capacity it only lets more rows through."""
     spark = ids.sparkSession
-    block = 18
+    block = 20
 
     def at(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = mixed(x.astype(np.uint64))
         return (h >> np.uint64(64 - bits)).astype(np.int64), (mixed(h) >> np.uint64(64 - bits)).astype(np.int64)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on = np.zeros(1 << bits, dtype=bool)
         for b in batches:
-            for p in at(b["i"].to_numpy(np.int64)):
-                on[p] = True
-        step = 1 << block
-        found = [(k, zlib.compress(np.packbits(on[k * step : (k + 1) * step]).tobytes(), 1)) for k in range(len(on) // step) if on[k * step : (k + 1) * step].any()]
-        yield pd.DataFrame(found, columns=["block", "bitmap"])
+            on = np.unique(np.concatenate(at(b["i"].to_numpy(np.int64))))
+            cut = np.flatnonzero(np.diff(on >> block, prepend=-1))
+            yield pd.DataFrame([(int(x[0] >> block), (x & ((1 << block) - 1)).astype("<u4").tobytes()) for x in np.split(on, cut[1:]) if len(x)], columns=["block", "places"])
 
     def either(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(1 << (block - 3), dtype=np.uint8)
-        for x in pdf["bitmap"]:
-            out |= np.frombuffer(zlib.decompress(x), dtype=np.uint8)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bitmap": [zlib.compress(out.tobytes(), 1)]})
+        on = np.zeros(1 << block, dtype=bool)
+        for x in pdf["places"]:
+            on[np.frombuffer(x, dtype="<u4")] = True
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bitmap": [zlib.compress(np.packbits(on).tobytes(), 1)]})
 
     whole = np.zeros(1 << bits, dtype=bool)
-    for r in ids.select("i").mapInPandas(mark, "block int, bitmap binary").groupBy("block").applyInPandas(either, "block int, bitmap binary").toLocalIterator():
+    for r in ids.select("i").mapInPandas(mark, "block int, places binary").groupBy("block").applyInPandas(either, "block int, bitmap binary").collect():
         whole[r["block"] << block : (r["block"] + 1) << block] = np.unpackbits(np.frombuffer(zlib.decompress(r["bitmap"]), dtype=np.uint8)).astype(bool)
     shared = spark.sparkContext.broadcast(np.packbits(whole))
 
     @F.pandas_udf("boolean")
     def member(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        on = np.unpackbits(shared.value).astype(bool)
+        on = shared.value
+        bit = lambda p: on[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1
         for x in batches:
             p, q = at(x.to_numpy(np.int64))
-            yield pd.Series(on[p] & on[q])
+            yield pd.Series((bit(p) & bit(q)).astype(bool))
 
     return member
 
@@ -357,9 +361,22 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, words: int
     return overlap.filter(F.lit(NUM + DEN) * F.col("o") >= F.lit(NUM) * F.col("sizes")).select("a", "b")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, label (smallest node of its component) by alternating large and small stars."""
+def components(edges: DataFrame, most_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
+    """node, label (smallest node of its component), every node named. Up to `few` edges are joined in one
+    task; more by alternating large and small stars."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
+    if e.count() <= few:
+
+        def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parent: dict[int, int] = {}
+            for b in batches:
+                for u, v in zip(b["u"].tolist(), b["v"].tolist()):
+                    x, y = root(parent, u), root(parent, v)
+                    parent[max(x, y)] = min(x, y)
+            nodes = list(parent)
+            yield pd.DataFrame({"node": nodes, "label": [root(parent, x) for x in nodes]}, dtype="int64")
+
+        return e.coalesce(1).mapInPandas(join, "node long, label long")
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -447,7 +464,7 @@ def across_components(members: DataFrame, docs: DataFrame, reps: DataFrame, orde
                     if n.sum():
                         overlap += np.bincount(w[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(block))
                 for j in np.flatnonzero((comp != label) & ((NUM + DEN) * overlap >= NUM * (size + len(s)))).tolist():
-                    x, y = find(joined, label), find(joined, int(comp[j]))
+                    x, y = root(joined, label), root(joined, int(comp[j]))
                     if x != y:
                         joined[max(x, y)] = min(x, y)
                         links.append((min(sid, int(who[j])), max(sid, int(who[j]))))
@@ -456,8 +473,11 @@ def across_components(members: DataFrame, docs: DataFrame, reps: DataFrame, orde
     return seated.select("sid", "label", "region", "row", "col", "asks", "text").mapInPandas(compare, "a long, b long").distinct()
 
 
-def find(parent: dict[int, int], x: int) -> int:
-    while parent.get(x, x) != x:
+def root(parent: dict[int, int], x: int) -> int:
+    """Root of x, which is entered if it is new; paths are halved on the way."""
+    parent.setdefault(x, x)
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
         x = parent[x]
     return x
 

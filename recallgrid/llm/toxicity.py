@@ -204,7 +204,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: in
     chosen = known.filter(draw < share)
     # about 2 * per_class rows by construction, so they can be broadcast
     rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    found = [(r["doc_id"], r["text"] or "", int(r["toxic"])) for r in rows.toLocalIterator()]
+    found = [(r["doc_id"], r["text"] or "", int(r["toxic"])) for r in rows.collect()]
     return [(t, y) for _, t, y in sorted(found)]
 
 

@@ -293,6 +293,20 @@ def test_ngram_join_frequent_list_across_components(spark, monkeypatch):
     assert got == brute_links(rows)
 
 
+def test_components_in_rounds_and_in_one_task(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 90)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    parent = {}
+    for a, b in edges:
+        x, y = ngram_join.root(parent, a), ngram_join.root(parent, b)
+        parent[max(x, y)] = min(x, y)
+    want = {x: ngram_join.root(parent, x) for a, b in edges if a != b for x in (a, b)}
+    for few in (0, 10**6):
+        got = [(r["node"], r["label"]) for r in ngram_join.components(df, few=few).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
 def test_keep_one(spark):
     texts = ["a b c d e f g h", "A B C D E F G H", "z y x w v u", None, "", " "]
     docs = docs_of(spark, texts, extra=True)
