@@ -12,6 +12,7 @@ other columns of the input, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,16 +30,26 @@ PART_PIECES = 50_000
 #: Bins filled less than this are worth an exchange; a partition gives up at most this share of its pieces.
 GAP_FILL, GIVE_UP = 0.995, 0.125
 #: Words kept with their ids in a worker, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+CACHE_WORDS, CACHE_BYTES = 1_200_000, 48
+#: Lower-cased bytes of letters, then of neither letters, digits nor white space.
+WORD_AND_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: itself where it is printable, else one from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in own]
+    return {x: chr(x) for x in own} | {x: chr(256 + i) for i, x in enumerate(rest)}
+
+
 class WordIds(dict):
     """Whitespace-free chunk -> its token ids, little-endian uint32.
 
     The tokenizer lower-cases, normalises and splits without ever crossing ASCII white space, so a
-    text's ids are those of its chunks, one after another.
+    text's ids are those of its chunks, one after another; likewise it always splits between letters and
+    marks. A chunk of Latin letters is one word to the model, which is asked for it directly.
     """
 
     def __init__(self, path: str):
@@ -46,10 +57,25 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+
+    def _ids(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8")
+        low = text.lower()
+        # precomposed Latin letters stay as they are under NFC, and keep their number under lower()
+        if low.isalpha() and len(low) == len(text) and max(low) < "\u0250":
+            ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, low.encode("utf-8"))))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.asarray(ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
-        out = np.asarray(ids, dtype="<u4").tobytes()
+        m = WORD_AND_MARKS.fullmatch(chunk)
+        if m and m[1].decode("utf-8").isalpha():
+            out = self[m[1]] + self[m[2]]
+        else:
+            out = self._ids(chunk)
         if len(chunk) <= CACHE_BYTES:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -65,7 +91,10 @@ def word_ids(path: str) -> WordIds:
 
 
 def encode(text: str | None, words: WordIds) -> bytes:
-    return b"".join(map(words.__getitem__, (text or "").encode("utf-8").split()))
+    data = (text or "").encode("utf-8")
+    if b"<|" not in data:  # special tokens are told by their case
+        data = data.lower()
+    return b"".join(map(words.__getitem__, data.split()))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
