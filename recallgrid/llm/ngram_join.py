@@ -167,8 +167,28 @@ def global_order(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return levels, weights
 
 
+def pack_postings(sids: np.ndarray, ns: np.ndarray, doc: np.ndarray, tokens: np.ndarray, place: np.ndarray) -> bytes:
+    """Postings that stand set by set: the sets with their sizes and numbers of postings, then tokens and places."""
+    start = np.flatnonzero(np.diff(doc, prepend=-1))
+    own, many = doc[start], np.diff(np.append(start, len(doc))).astype("<u4")
+    return np.array([len(own), len(doc)], dtype="<u4").tobytes() + sids[own].tobytes() + ns[own].tobytes() + many.tobytes() + tokens.tobytes() + place.tobytes()
+
+
+def unpack_postings(data: bytes) -> np.ndarray:
+    sets, n = np.frombuffer(data, dtype="<u4", count=2).tolist()
+    at = 8
+    parts = []
+    for dtype, count in (("<i8", sets), ("<u4", sets), ("<u4", sets), ("<u4", n), ("<u2", n)):
+        parts.append(np.frombuffer(data, dtype=dtype, count=count, offset=at))
+        at += parts[-1].nbytes
+    out = np.empty(n, dtype=POSTING)
+    out["s"], out["n"] = np.repeat(parts[0], parts[2]), np.repeat(parts[1], parts[2])
+    out["t"], out["p"] = parts[3], parts[4]
+    return out
+
+
 def postings(docs: DataFrame, order, buckets: int, words: int = WORDS) -> DataFrame:
-    """Packed prefix postings: bucket, data (an array of POSTING). A set is sent once per task, however many copies it has there."""
+    """Packed prefix postings: bucket, data. A set is sent once per task, however many copies it has there."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         o = Order(*order.value)
@@ -179,17 +199,16 @@ def postings(docs: DataFrame, order, buckets: int, words: int = WORDS) -> DataFr
         def flush() -> pd.DataFrame:
             size = np.array([len(s) for s, _, _ in held])
             tokens = mixed(np.concatenate([s for s, _, _ in held]))
-            rec = np.empty(len(tokens), dtype=POSTING)
-            rec["t"] = (tokens >> np.uint64(32)).astype(np.uint32)
-            rec["s"], rec["n"] = np.repeat([x for _, x, _ in held], size), np.repeat([n for _, _, n in held], size)
             # a smaller position only weakens the filter
-            rec["p"] = np.minimum(np.concatenate([np.arange(n) for n in size]), 65535)
+            place = np.minimum(np.concatenate([np.arange(n) for n in size]), 65535).astype("<u2")
+            doc = np.repeat(np.arange(len(held)), size)
             b = ((tokens & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(b, kind="stable")
-            b, rec = b[by], rec[by]
+            b, doc, place, tokens = b[by], doc[by], place[by], (tokens[by] >> np.uint64(32)).astype("<u4")
+            sids, ns = np.array([x for _, x, _ in held], dtype="<i8"), np.array([n for _, _, n in held], dtype="<u4")
             at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
             held.clear()
-            return pd.DataFrame({"bucket": b[at].astype(np.int32), "data": [x.tobytes() for x in np.split(rec, at[1:])]})
+            return pd.DataFrame({"bucket": b[at].astype(np.int32), "data": [pack_postings(sids, ns, *x) for x in zip(*(np.split(y, at[1:]) for y in (doc, tokens, place)))]})
 
         for batch in batches:
             for text in batch["text"]:
@@ -260,7 +279,7 @@ def candidates(posted: DataFrame) -> DataFrame:
     fields = ["a", "b", "gid", "sets", "sizes"]
 
     def pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, lists = list_pairs(np.frombuffer(b"".join(pdf["data"]), dtype=POSTING))
+        a, b, lists = list_pairs(np.concatenate([unpack_postings(d) for d in pdf["data"]]))
         lists = list({i: (i, s.astype("<i8").tobytes(), n.astype("<u4").tobytes()) for i, s, n in lists}.values())
         blank = [None] * len(lists)
         out = {k: pd.array([*x.tolist(), *blank], dtype="Int64") for k, x in (("a", a), ("b", b))}
