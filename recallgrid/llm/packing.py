@@ -30,7 +30,7 @@ PART_PIECES = 50_000
 #: Bins filled less than this are worth an exchange; a partition gives up at most this share of its pieces.
 GAP_FILL, GIVE_UP = 0.995, 0.125
 #: Words kept with their ids in a worker, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 1_200_000, 48
+CACHE_WORDS, CACHE_BYTES = 700_000, 48
 #: Lower-cased bytes of letters, then of neither letters, digits nor white space.
 WORD_AND_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
 

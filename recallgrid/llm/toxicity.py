@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .langid import in_fold
 
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
 WINDOW_WORDS = 6
 BASE_BYTES, TELLING_BYTES = 24_576, 16_384
 LEVEL, MIN_MATCH = 3, 6
