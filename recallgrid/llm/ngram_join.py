@@ -9,7 +9,8 @@ needed (prefix, size and position filters; none loses a pair).
 1. Equal sets meet under one set id (a 64-bit digest), so copies cost a row each and no pair.
 2. Prefix shingles go, packed, to buckets of the order's hash; a shingle held by few sets gives all pairs
    that pass the filters, one held by more gives a star around one set and a chain in order of size.
-3. The candidate pairs are verified by vertical partitioning: both sets are cut, by pivots of the global
+3. Candidate pairs whose parity sketches differ in more cells than linked sets could are dropped (the sketches'
+   difference never exceeds the sets'). The rest are verified by vertical partitioning: both sets are cut, by pivots of the global
    order, into FRAGMENTS; overlaps are counted per fragment, and summed per pair.
 4. Linked sets are joined to components (large star, small star). Where long lists still hold sets of
    different components, these lists' sets form regions; all of a region but its largest component is
@@ -49,6 +50,8 @@ BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 2_000_000
 #: Spokes of a hub that one task compares at a time, and shingles in a block of a region.
 HUB_SPOKES = 64
 BLOCK_SHINGLES = 1_000_000
+#: Most cells of a set's parity sketch, as a power of two.
+PARITY_BITS = 15
 #: Edges that one task joins to components; beyond, they are joined in rounds over all tasks.
 FEW_EDGES = 500_000
 POSTING = np.dtype([("t", "<u4"), ("s", "<i8"), ("n", "<u4"), ("p", "<u2")])
@@ -85,6 +88,23 @@ def set_id(s: np.ndarray) -> int:
     return (xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 or 1) if len(s) else 0
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Whether each cell holds an odd number of a set's shingles: two cells a shingle or more, up to 2**PARITY_BITS."""
+    bits = 1 << min(PARITY_BITS, max(6, (2 * len(s)).bit_length()))
+    odd = np.bincount((mixed(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Cells whose parities differ, the longer sketch folded to the shorter: at most the symmetric difference of the sets."""
+    x, y = (np.frombuffer(v, dtype=np.uint8) for v in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def needed(a, b, num: int = NUM, den: int = DEN):
     """Least overlap of sets of these sizes: den * o >= num * (a + b - o)."""
     return -((-num * (a + b)) // (num + den))
@@ -337,18 +357,63 @@ def with_texts(seats: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return texts.join(wanted, ["doc_id", "th"]).drop("doc_id", "th")
 
 
+def routes(pairs: DataFrame) -> DataFrame:
+    """Rows (hub, salt, spoke): the end with the smaller mixed id is the hub, its spokes go in groups of about HUB_SPOKES."""
+    hub_first = F.xxhash64("a") < F.xxhash64("b")
+    routed = pairs.select(F.when(hub_first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub_first, F.col("b")).otherwise(F.col("a")).alias("spoke"))
+    degree = routed.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SPOKES).cast("int").alias("salts"))
+    return written(routed.join(degree, "hub").select("hub", F.pmod(F.xxhash64("spoke"), "salts").cast("int").alias("salt"), "spoke"), "ngram-routes")
+
+
+def seats_of(routed: DataFrame) -> DataFrame:
+    """Rows (sid, hub, salt): a spoke once for each of its pairs, a hub once for each of its groups of spokes."""
+    return routed.select(F.col("spoke").alias("sid"), "hub", "salt").unionByName(routed.select(F.col("hub").alias("sid"), "hub", "salt").distinct())
+
+
+def may_link(routed: DataFrame, docs: DataFrame, reps: DataFrame, words: int = WORDS) -> DataFrame:
+    """The routes whose sets' parity sketches leave room for the overlap needed; none of a linked pair goes.
+
+    Sketches are made where the texts lie, for the candidates' sets alone, and sent instead of the texts.
+    """
+    parts = shuffle_parts(routed.sparkSession)
+    seats = seats_of(routed)
+    member = id_filter(seats.select("sid").distinct().join(reps, "sid").select(F.col("doc_id").alias("i")))
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingles(text, words) for text in b["text"]]
+            yield pd.DataFrame({"sid": [set_id(s) for s in sets], "n": [len(s) for s in sets], "parity": [parity(s) for s in sets]})
+
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
+    sketches = docs.select(ids, "text").filter(member("doc_id")).select("text").mapInPandas(sketch, "sid long, n long, parity binary")
+    sketches = written(sketches.groupBy("sid").agg(F.max("n").alias("n"), F.max("parity").alias("parity")), "ngram-sketches")
+    seated = seats.join(sketches, "sid").repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("sid") != F.col("hub"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own, size = None, b"", 0
+        for b in batches:
+            out = []
+            for hub, salt, sid, n, sketched in zip(*(b[k].tolist() for k in ("hub", "salt", "sid", "n", "parity"))):
+                if sid == hub:
+                    at, own, size = (hub, salt), sketched, n
+                    continue
+                if at != (hub, salt):
+                    raise ValueError("a spoke came without its hub")
+                if least_difference(own, sketched) <= n + size - 2 * needed(n, size):
+                    out.append((hub, salt, sid))
+            yield pd.DataFrame(out, columns=["hub", "salt", "spoke"])
+
+    return written(seated.select("hub", "salt", "sid", "n", "parity").mapInPandas(compare, "hub long, salt int, spoke long"), "ngram-routes")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, words: int = WORDS) -> DataFrame:
     """Pairs (a, b) at or over the threshold, by overlaps per fragment summed per pair.
 
-    Each pair is routed to its hub (the end with the smaller mixed id); a hub's row goes once to each of
-    its groups of spokes, a spoke's row to each of its pairs.
+    Each pair is routed to its hub; a hub's row goes once to each of its groups of spokes, a spoke's row to
+    each of its pairs. Only pairs that pass the parity sketches get their texts.
     """
     parts = shuffle_parts(pairs.sparkSession)
-    hub_first = F.xxhash64("a") < F.xxhash64("b")
-    routed = pairs.select(F.when(hub_first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub_first, F.col("b")).otherwise(F.col("a")).alias("spoke"))
-    degree = routed.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SPOKES).cast("int").alias("salts"))
-    routed = written(routed.join(degree, "hub").select("hub", F.pmod(F.xxhash64("spoke"), "salts").cast("int").alias("salt"), "spoke"), "ngram-routes")
-    seats = routed.select(F.col("spoke").alias("sid"), "hub", "salt").unionByName(routed.select(F.col("hub").alias("sid"), "hub", "salt").distinct())
+    seats = seats_of(may_link(routes(pairs), docs, reps, words))
     seated = with_texts(seats, docs, reps).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("sid") != F.col("hub"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -316,6 +316,19 @@ def test_keep_one(spark):
     assert ngram_join.keep_one(docs_of(spark, [])).count() == 0
 
 
+def test_ngram_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m, common in ((0, 1, 0), (1, 1, 1), (5, 40, 3), (300, 310, 250), (300, 1300, 290), (5000, 4000, 3900), (60000, 50000, 45000)):
+        pool = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+        a, b = pool[:n], pool[n - common : n - common + m]
+        apart = len(np.setxor1d(a, b))
+        x, y = ngram_join.parity(a), ngram_join.parity(b)
+        assert ngram_join.least_difference(x, y) == ngram_join.least_difference(y, x) <= apart
+        assert ngram_join.least_difference(x, x) == 0 and len(x) <= 2**ngram_join.PARITY_BITS // 8
+    far = [ngram_join.parity(np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))) for _ in range(2)]
+    assert ngram_join.least_difference(*far) > 600 - 2 * ngram_join.needed(300, 300)  # unrelated sets do not pass
+
+
 def test_ngram_repeated_and_null_ids(spark):
     t = "one two three four five six"
     df = spark.createDataFrame([(1, t), (1, t), (1, "other words here"), (None, t), (5, t)], "doc_id long, text string")
