@@ -311,8 +311,8 @@ def candidates(posted: DataFrame) -> DataFrame:
     return posted.groupBy("bucket").applyInPandas(pair_up, "a long, b long, gid long, sets binary, sizes binary")
 
 
-def id_filter(ids: DataFrame, bits: int = BLOOM_BITS):
-    """A Bloom filter of fixed size over a long column `i`, broadcast; past its capacity it only lets more rows through."""
+def id_test(ids: DataFrame, bits: int = BLOOM_BITS):
+    """A test on arrays: a Bloom filter of fixed size over a long column `i`, broadcast; past its capacity it only lets more rows through."""
     spark = ids.sparkSession
     block = 20
 
@@ -337,13 +337,23 @@ def id_filter(ids: DataFrame, bits: int = BLOOM_BITS):
         whole[r["block"] << block : (r["block"] + 1) << block] = np.unpackbits(np.frombuffer(zlib.decompress(r["bitmap"]), dtype=np.uint8)).astype(bool)
     shared = spark.sparkContext.broadcast(np.packbits(whole))
 
-    @F.pandas_udf("boolean")
-    def member(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def test(x: np.ndarray) -> np.ndarray:
         on = shared.value
         bit = lambda p: on[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1
+        p, q = at(x)
+        return (bit(p) & bit(q)).astype(bool)
+
+    return test
+
+
+def id_filter(ids: DataFrame, bits: int = BLOOM_BITS):
+    """id_test as a column function."""
+    test = id_test(ids, bits)
+
+    @F.pandas_udf("boolean")
+    def member(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
-            p, q = at(x.to_numpy(np.int64))
-            yield pd.Series((bit(p) & bit(q)).astype(bool))
+            yield pd.Series(test(x.to_numpy(np.int64)))
 
     return member
 
@@ -377,15 +387,18 @@ def may_link(routed: DataFrame, docs: DataFrame, reps: DataFrame, words: int = W
     """
     parts = shuffle_parts(routed.sparkSession)
     seats = seats_of(routed)
-    member = id_filter(seats.select("sid").distinct().join(reps, "sid").select(F.col("doc_id").alias("i")))
+    test = id_test(seats.select("sid").distinct().join(reps, "sid").select(F.col("doc_id").alias("i")))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingles(text, words) for text in b["text"]]
-            yield pd.DataFrame({"sid": [set_id(s) for s in sets], "n": [len(s) for s in sets], "parity": [parity(s) for s in sets]})
+            rows = []
+            for text in b["text"][test(b["doc_id"].to_numpy(np.int64))]:
+                s = shingles(text, words)
+                rows.append((set_id(s), len(s), parity(s)))
+            yield pd.DataFrame(rows, columns=["sid", "n", "parity"])
 
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
-    sketches = docs.select(ids, "text").filter(member("doc_id")).select("text").mapInPandas(sketch, "sid long, n long, parity binary")
+    sketches = docs.select(ids, "text").mapInPandas(sketch, "sid long, n long, parity binary")
     sketches = written(sketches.groupBy("sid").agg(F.max("n").alias("n"), F.max("parity").alias("parity")), "ngram-sketches")
     seated = seats.join(sketches, "sid").repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("sid") != F.col("hub"))
 
