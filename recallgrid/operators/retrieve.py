@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.constants import B, K1
 from ..functions.text import category_order, estimate_tokens, reason, tokenize
+from ..llm.common import written
 
 
 @dataclass(frozen=True)
@@ -29,25 +30,26 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(F.col(query_id).alias("query_id"), F.posexplode(F.array_distinct(tokenize(F.col(text)))).alias("qpos", "term"))
 
 
-def bm25(items: DataFrame, queries: DataFrame, item_id: str = "id", text: str = "content", query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """query_id, item_id, lexical (0 to 1) and matched terms of every pair that shares a term.
+def bm25(items: DataFrame, queries: DataFrame, item_id: str = "id", text: str = "content", query_id: str = "query_id", query: str = "query", carry: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, item_id, lexical (0 to 1) and matched terms of every pair that shares a term, and the items' columns `carry`.
 
     Statistics cover all items. Only tokens that some query asks for leave the scan's stage: the terms are
     joined to the exploded tokens first (broadcast when small enough), then counted with map-side combine.
     """
-    tokens = items.select(F.col(item_id).alias("item_id"), tokenize(F.col(text)).alias("tokens"))
+    tokens = items.select(F.col(item_id).alias("item_id"), tokenize(F.col(text)).alias("tokens"), *[F.col(c).alias(f"_{c}") for c in carry])
+    kept = [F.first(f"_{c}").alias(f"_{c}") for c in carry]
     stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens").cast("double")).alias("avgdl"))
     terms = query_terms(queries, query_id, query)
     asked = terms.select("term").distinct()
-    counted = tokens.select("item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked, "term").groupBy("item_id", "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
+    counted = tokens.select("item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"), *[f"_{c}" for c in carry]).join(asked, "term").groupBy("item_id", "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"), *kept)
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term", "left").crossJoin(F.broadcast(stats)).select("query_id", "term", "qpos", "avgdl", F.log1p((F.col("n") - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5)).alias("idf"))
     ceiling = weighted.groupBy("query_id").agg(F.sum(F.col("idf") * (K1 + 1)).alias("ceiling"))
     ratio = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(1.0)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * ratio))
-    hits = counted.join(weighted, "term").groupBy("query_id", "item_id").agg(F.sum(part).alias("raw"), F.sort_array(F.collect_list(F.struct("qpos", "term"))).alias("m"))
+    hits = counted.join(weighted, "term").groupBy("query_id", "item_id").agg(F.sum(part).alias("raw"), F.sort_array(F.collect_list(F.struct("qpos", "term"))).alias("m"), *kept)
     top = F.when(F.col("ceiling") > 0, F.col("ceiling")).otherwise(1.0)
-    return hits.join(ceiling, "query_id").select("query_id", "item_id", F.least(F.lit(1.0), F.col("raw") / top).alias("lexical"), F.col("m.term").alias("matched"))
+    return hits.join(ceiling, "query_id").select("query_id", "item_id", F.least(F.lit(1.0), F.col("raw") / top).alias("lexical"), F.col("m.term").alias("matched"), *[F.col(f"_{c}").alias(c) for c in carry])
 
 
 def ranked(scored: DataFrame, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -76,6 +78,25 @@ def fold_budget(cands: Column, top_k: int, budget: int | None) -> Column:
     return F.aggregate(cands, zero, step)
 
 
+def select_in_budget(scored: DataFrame, top_k: int, budget: int) -> DataFrame:
+    """query_id, used, picked and dropped of fold_budget over all candidates of each query, best score first, then item_id.
+
+    scored: query_id, item_id, score, tokens. What is left of the budget only shrinks, so of the candidates with equal
+    tokens those picked are the first ones, at most top_k: the fold reads no more than these (top_k for each number of
+    tokens within the budget). What was dropped before the last pick is counted over all candidates.
+    """
+    cand = written(scored.select("query_id", "item_id", "score", "tokens"), "candidates")
+    same = Window.partitionBy("query_id", "tokens").orderBy(F.desc("score"), "item_id")
+    first = cand.filter(F.col("tokens") <= budget).withColumn("r", F.row_number().over(same)).filter(F.col("r") <= top_k)
+    lists = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "item_id", "tokens"))).alias("l"))
+    fold = lists.withColumn("f", fold_budget(F.transform("l", lambda c, i: F.struct(i.cast("string").alias("key"), c["tokens"].alias("tokens"))), top_k, budget))
+    last = F.when(F.size("f.picked") >= top_k, F.get("l", F.element_at("f.picked", -1).cast("int")))
+    state = fold.select(F.col("query_id").alias("q"), "f.used", F.size("f.picked").cast("long").alias("picked"), last.alias("last"))
+    before = F.col("last").isNull() | (-F.col("score") < F.col("last.s")) | ((-F.col("score") == F.col("last.s")) & (F.col("item_id") <= F.col("last.item_id")))
+    seen = cand.join(F.broadcast(state), F.col("query_id") == F.col("q"), "left").groupBy("query_id").agg(F.count_if(before).alias("seen"), *[F.coalesce(F.first(c), F.lit(0).cast("long")).alias(c) for c in ("used", "picked")])
+    return seen.select("query_id", "used", "picked", (F.col("seen") - F.col("picked")).alias("dropped"))
+
+
 def assemble(items: DataFrame, query: str, options: RetrievalOptions = RetrievalOptions(), embeddings: DataFrame | None = None, weight: float = 0.5, transcript_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Selected items with rank, score and reason, and a one-row summary, for one query over a memory.
 

@@ -131,10 +131,9 @@ S_FOLD = "list_reduce(l, lambda a, x: CASE WHEN a.n >= 5 THEN a WHEN a.used + x.
     f"f AS (SELECT query_id, {S_FOLD} AS f FROM l) SELECT query_id, f.used AS used, f.n AS picked, f.dropped AS dropped FROM f"
 )
 def retrieve_token_budget(spark, sf):
-    tokens = tab(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), T.estimate_tokens(F.col("text")).alias("tokens"))
-    lists = bm25(spark, sf, 50).join(tokens, "item_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("item_id").cast("string").alias("key"), "tokens"))).alias("l"))
-    fold = lists.select("query_id", retrieve.fold_budget(F.col("l"), 5, 400).alias("f"))
-    return fold.select("query_id", "f.used", F.size("f.picked").cast("long").alias("picked"), "f.dropped")
+    d = tab(spark, sf, "documents").withColumn("tokens", T.estimate_tokens(F.col("text")))
+    found = retrieve.bm25(d, tab(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", carry=("tokens",))
+    return retrieve.select_in_budget(found.withColumn("score", F.round("lexical", 4)), 5, 400)
 
 
 S_SCORES = "SELECT query_id, round(coalesce(hits, 0) / greatest(1, least(3, coalesce(selected, 3))), 4) AS precision, round(coalesce(hits, 0) / relevant, 4) AS recall, round(coalesce(1 / first, 0), 4) AS rr FROM rel LEFT JOIN sel USING (query_id) LEFT JOIN h USING (query_id)"
