@@ -1,0 +1,28 @@
+"""Trust and distrust against the solved linear system."""
+
+import numpy as np
+import pytest
+
+from recallgrid.llm import url_trust
+
+
+def solved(n, edges, seed, back):
+    w = np.zeros((n, n))
+    for a, b in edges:
+        w[(b, a) if back else (a, b)] += 1
+    w = w / np.maximum(w.sum(1, keepdims=True), 1)
+    return np.linalg.solve(np.eye(n) - url_trust.DAMPING * w.T, np.array(seed))
+
+
+def test_ranks_are_those_of_the_limit(spark):
+    n = 26  # a cycle of 4 hosts that are a little blocked, then a chain of 22 behind one allowed host
+    edges = [(i, (i + 1) % 4) for i in range(4)] + [(i, i + 1) for i in range(4, n - 1)]
+    bad, good = [0.08] * 4 + [0.0] * (n - 4), [0.0] * 4 + [1.0] + [0.0] * (n - 5)
+    seeds = spark.createDataFrame([(f"h{i}", good[i], bad[i]) for i in range(n)], "host string, trust double, distrust double")
+    links = spark.createDataFrame([(f"h{a}", f"h{b}", 1) for a, b in edges], "src string, dst string, n long")
+    got = {r["host"]: r for r in url_trust.propagate(seeds, links).collect()}
+    assert np.allclose([got[f"h{i}"]["distrust"] for i in range(n)], solved(n, edges, bad, True), atol=1e-6)
+    assert np.allclose([got[f"h{i}"]["trust"] for i in range(n)], solved(n, edges, good, False), atol=1e-6)
+    assert got["h0"]["distrust"] >= url_trust.THRESHOLD and got[f"h{n - 1}"]["trust"] > 0.01
+    with pytest.raises(RuntimeError):
+        url_trust.propagate(seeds, links, rounds=10)
