@@ -78,7 +78,8 @@ def role(c: Column) -> Column:
 def transcript_turns(c: Column) -> Column:
     """Turns of a plain-text transcript: array of struct(role, content)."""
     mark, cut = "\x01", "\x02"
-    parts = F.slice(F.split(F.regexp_replace(c, r"(?im)^(User|Human|Assistant|AI|System)\s*:\s*", mark + "$1" + cut), mark), 2, 1_000_000)
+    cuts = F.split(F.regexp_replace(c, r"(?im)^(User|Human|Assistant|AI|System)\s*:\s*", mark + "$1" + cut), mark)
+    parts = F.filter(cuts, lambda p, i: i > 0)
     turns = F.filter(F.transform(parts, lambda p: F.struct(role(F.substring_index(p, cut, 1)).alias("role"), strip(F.substring_index(p, cut, -1)).alias("content"))), lambda t: t["content"] != "")
     alone = F.array(F.struct(F.lit("user").alias("role"), strip(c).alias("content")))
     return F.when(F.size(parts) > 0, turns).otherwise(alone)

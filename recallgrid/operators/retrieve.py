@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.constants import B, K1
 from ..functions.text import category_order, estimate_tokens, reason, tokenize
-from ..llm.common import written
+from ..shared import written
 
 
 @dataclass(frozen=True)
