@@ -1,55 +1,13 @@
-"""Helpers shared by the training-data operators: the shared folder, written tables, worker caches."""
+"""Helpers shared by the training-data operators: written tables, worker caches, the driver's tables."""
 
 from __future__ import annotations
 
-import atexit
-import os
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"recallgrid-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone; a cluster's own cleaner takes the folder
-        pass
-
-
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Drop a written table that no later plan reads."""
-    if path := getattr(df, "_written_at", None):
-        _remove(spark, path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet in the shared folder and read them back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._written_at = path
-    return back
+from ..shared import delete, new_path, remove, shared_dir, written  # noqa: F401
 
 
 def shuffle_parts(spark: SparkSession) -> int:
