@@ -25,3 +25,15 @@ def worker_cache() -> dict:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_names(taken, *wanted: str) -> list[str]:
+    """Names for a plan's own columns that none of the columns taken has, whatever its case."""
+    low = {c.lower() for c in taken}
+    out = []
+    for w in wanted:
+        while w.lower() in low:
+            w += "_"
+        low.add(w.lower())
+        out.append(w)
+    return out

@@ -507,7 +507,7 @@ def test_toxicity_held_out(spark):
     s, y = np.array([r["score"] for r in both]), np.array([r["toxic"] for r in both])
     rank = np.argsort(np.argsort(s))
     auc = (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / ((y == 1).sum() * (y == 0).sum())
-    assert auc > 0.87 and np.mean((s >= 0.5) == y) > 0.91
+    assert auc > 0.9 and np.mean((s >= 0.5) == y) > 0.93
     assert got.count() == spark.read.parquet(f"{d}/documents.parquet").count()
 
 
@@ -516,9 +516,53 @@ def test_toxicity_edge_cases(spark):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.score_toxicity(docs, model)
     assert [r["toxicity"] for r in out.collect()] == [0.0] * len(EDGE_TEXTS) and out.columns[:-1] == docs.columns
-    rows = [(f"worthless disgusting words here number {i}", 1) for i in range(90)] + [(f"plain good words here number {i}", 0) for i in range(90)]
-    model = toxicity.train(rows).open()
-    assert model.score("you disgusting and worthless one") > 0.5 > model.score("good words") and model.score(None) < 0.5 and model.score("") < 0.5
+    for words, said in (("vile scum", "you scum and vile"), ("worthless disgusting", "you disgusting and worthless one")):
+        rows = [(f"{words} words here number {i}", 1) for i in range(90)] + [(f"plain good words here number {i}", 0) for i in range(90)]
+        model = toxicity.train(rows).open()
+        assert model.score(said) > 0.5 > model.score("good words") and model.score(None) < 0.5 and model.score("") < 0.5
+
+
+def test_toxicity_against_brute_force(spark, sf):
+    """Every text's score from its definition: one compression of each window with either dictionary, one formula."""
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.filter("doc_id < 3")).withColumn("score", F.lit("clash"))
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+
+    def brute(text):
+        words = re.split(rb"[ .,;:!?\"'()\[\]{}|*#$%&\t\n\r\x0b\x0c]+", (text or "").lower().encode())
+        words = [w for w in words if w]
+        leads = []
+        for i in range(0, len(words), 6):
+            w = b" " + b" ".join(words[i : i + 6]) + toxicity.TAIL
+            size = {}
+            for d in (model.ordinary, model.toxic):
+                params = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, dict_size=len(d), min_match=toxicity.MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+                size[d] = len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(w))
+            leads.append(size[model.ordinary] - size[model.toxic])
+        over = sum(x >= model.threshold for x in leads)
+        f = [1, min(max(max(leads), 0), 40) / 8, math.log(1 + over), over / len(leads)] if leads else [1, 0, 0, 0]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, f))))
+
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert len(got) == docs.count() and got[0].asDict().keys() == {"doc_id", "text", "score", "toxicity"}
+    assert np.allclose([r["toxicity"] for r in got], [brute(r["text"]) for r in got], atol=1e-9)
+
+
+def test_toxicity_labels(spark):
+    texts = [f"plain words {i} {'nastything horridly' if i % 2 else 'good'}" for i in range(200)]
+    docs = docs_of(spark, texts)
+    rows = [(i, i % 2) for i in range(200)]
+    once = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+    noisy = [*rows, *rows, *[(i, None) for i in range(200)], *[(i, 0) for i in range(1, 200, 2)], (9999, 1), (None, 1)]
+    again = toxicity.fit(docs, spark.createDataFrame(noisy, "doc_id long, toxic int"))
+    assert (once.toxic, once.ordinary, once.threshold, once.weights) == (again.toxic, again.ordinary, again.threshold, again.weights) and once.toxic
+    out = toxicity.score_toxicity(docs_of(spark, [], extra=True), once)
+    assert out.count() == 0 and "toxicity" in out.columns
+    assert toxicity.fit(docs_of(spark, []), spark.createDataFrame(rows, "doc_id long, toxic int")).score("x") == 0.0
 
 
 def test_language_held_out(spark):
@@ -527,12 +571,79 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97
 
 
+def test_language_against_brute_force(spark, sf):
+    """Sets and counters of n-grams in plain Python, the same filter bit by bit, every text's prediction."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.limit(3))
+    model = langid.fit(docs)
+    learn = [(r["text"], r["lang"]) for r in docs.collect() if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+
+    def grams(text):
+        low = "".join(c if c.isalpha() else "\0" for c in text.lower())
+        b = re.sub("\0+", " ", low).encode()
+        return [int.from_bytes(b[i : i + 5], "big") for i in range(len(b) - 4)]
+
+    def places(g):
+        return [((g * m) % 2**64) >> (64 - langid.FILTER_BITS) for m in langid.MULTIPLIERS]
+
+    langs = sorted({x for _, x in learn})
+    docs_in = {x: sum(y == x for _, y in learn) for x in langs}
+    count = {x: defaultdict(int) for x in langs}
+    for t, x in learn:
+        for g in set(grams(t)):
+            count[x][g] += 1
+    rate = {x: {g: c / docs_in[x] for g, c in count[x].items() if c >= min(2, docs_in[x])} for x in langs}
+    best = defaultdict(float)
+    for x in langs:
+        for g, r in rate[x].items():
+            best[g] = max(best[g], r)
+    bits = {x: {p for g, r in rate[x].items() if r >= langid.LEAST_SHARE * best[g] for p in places(g)} for x in langs}
+
+    def brute(text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        gs = grams(text)
+        common = min(langs, key=lambda x: (-docs_in[x], x))
+        if not gs:
+            return common, 0.0
+        share = []
+        for x in langs:
+            chance = (len(bits[x]) / 2**langid.FILTER_BITS) ** 2
+            hit = sum(all(p in bits[x] for p in places(g)) for g in gs) / len(gs)
+            share.append(min(1, max(0, (hit - chance) / (1 - chance))))
+        if max(share) <= 0:
+            return common, 0.0
+        i = share.index(max(share))
+        return langs[i], share[i] / sum(share)
+
+    got = langid.identify(docs.select("doc_id", "text", F.lit(1).alias("_made"), F.lit("x").alias("_p")), model).collect()
+    want = [brute(r["text"]) for r in got]
+    assert len(got) == 203 and [r["lang_pred"] for r in got] == [w[0] for w in want] and got[0]["_p"] == "x"
+    assert np.allclose([r["lang_score"] for r in got], [w[1] for w in want])
+    for r in got[:20]:  # a long text in stretches is the same text
+        assert model.predict(r["text"], 7) == model.predict(r["text"])
+
+
+def test_language_many_and_rare(spark):
+    """A language with one row among two thousand languages is learned."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) * 2 for k in range(3))
+    rows = [(i, f"{word(i)} {word(i)} {word(i)}", f"l{i:04d}", "s", 9) for i in range(1100)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS))
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(model.langs) == len(learned) > 800
+    assert [model.predict(t)[0] for _, t, *_ in learned[-40:]] == [x for *_, x, _, _ in learned[-40:]]
+
+
 def test_language_edge_cases(spark):
     docs = docs_of(spark, EDGE_TEXTS + ["12 34", "!!"], extra=True)
     model = langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.identify(docs, model).collect()}
     assert [i for i, (p, _) in got.items() if p == "und"] == [0, 1, 2, 10, 11] and all(0 <= s <= 1 for _, s in got.values())
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(docs_of(spark, []))).collect()} == {"und"}
+    assert langid.identify(docs_of(spark, []), model).count() == 0
+    tied = langid.train([("same words here", "b"), ("same words here", "a")])
+    assert tied.predict("same words here")[:2] == ("a", 0.5)
+    assert model.predict("漢字仮名交じり文の文章です") == (model.langs[model.common], 0.0, 0.0)
     many = langid.train([(f"{chr(97 + i // 26) * 3}{chr(97 + i % 26) * 3} " * 9, f"l{i:03d}") for i in range(70)])
     assert many.predict("cccrrr cccrrr")[0] == f"l{2 * 26 + 17:03d}" and len(many.words) == 2
 
@@ -596,6 +707,16 @@ def test_neighbours_few_and_none(spark):
 # pipeline
 
 
+def test_pipeline_language_stage_drops_what_was_never_learned(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang_found", F.lit("clash"))
+    odd = spark.createDataFrame([(90001, "漢字仮名交じり文の文章です"), (90002, "12 34"), (90003, None), (90004, "ab")], "doc_id long, text string")
+    out = pipeline.known_language(spark, docs.unionByName(odd, allowMissingColumns=True), sf)
+    kept = {r["doc_id"] for r in out.select("doc_id").collect()}
+    lettered = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+    assert out.columns == docs.columns and kept == lettered | {90004}
+
+
 def test_pipeline(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
