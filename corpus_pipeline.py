@@ -11,24 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.llm import langid, mixing, ngram_join, packing, toxicity
-from recallgrid.llm.common import table, written
+from recallgrid.llm.common import free_names, table, written
 
-#: Rejected from this toxicity on, and languages under this score.
-TOXIC, LEAST_LANGUAGE_SCORE = 0.5, 0.0
+#: Rejected from this toxicity on.
+TOXIC = 0.5
+
+
+def own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the toxicity threshold."""
+    """Documents under the toxicity threshold; null and empty texts stay."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, model, score_col="_toxicity")
-    return scored.filter(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    (score,) = free_names(docs.columns, "toxicity")
+    scored = toxicity.score_toxicity(docs, model, score_col=score)
+    return scored.filter(F.col(score) < TOXIC).select(*own(docs))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter go."""
+    """Documents in one of the learned languages.
+
+    Those without a letter go, and those whose n-grams no learned language's filter holds beyond chance (a
+    script or language never learned); a text too short for an n-gram stays.
+    """
     model = langid.fit(docs)
-    named = langid.identify(docs, model, pred_col="_lang", score_col="_lang_score")
-    return named.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score, hits = free_names(docs.columns, "lang_found", "lang_score", "lang_hits")
+    named = langid.identify(docs, model, pred_col=lang, score_col=score, hits_col=hits)
+    return named.filter((F.col(lang) != langid.UNKNOWN) & (F.col(hits).isNull() | (F.col(hits) > 0))).select(*own(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources played to their temperature weights; no document is lost, those of small sources recur."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs).select(*own(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
