@@ -1,21 +1,25 @@
-"""Approximate nearest neighbours on shifted space-filling curves, with an exact completion.
+"""Approximate nearest neighbours on shifted space-filling curves.
 
-Vectors are projected at random to a few dimensions, shifted, and ordered along Hilbert curves, once per
-shift. Each ordering is range-partitioned; within a range, a query looks at the rows of its key window
-and of the neighbouring windows, the finds of all curves merge, and are ranked by the exact cosine. That
-gives every query a k-th best cosine to beat.
+Vectors are projected at random to a few dimensions, each axis is stretched so that a sample's rows lie evenly
+along it (dense clusters get room), shifted, and the rows are ordered along a Hilbert curve. Each curve has a
+projection and a shift of its own. An ordering is cut into ranges at a sample's quantiles; a query goes to its
+own range and the two beside it, and looks at the rows of its key window there, so no neighbour is lost at a
+border. Windows work on coarse codes (a byte a component); their finds merge over the curves, and the best
+are ranked by the exact cosine of the vectors as they are.
 
-On data without clusters (high-dimensional noise) near vectors are not near on any curve, and windows
-alone do not reach a recall of 0.9; so the completion scans the rows in blocks of the first curve's
-order, for a block of queries at a time, and skips each block whose bound (the cosine to the block's
-centre, less its angular radius) cannot beat a query's k-th best. Results are exact.
+Curves come in rounds of ROUND_CURVES. After each, the recall is measured: for a sample of SAMPLE_QUERIES queries
+the true cosines are known from one scan over all rows, and a find counts if it comes up to the last of these.
+Rounds go on until the sample's recall reaches TARGET. Where CODED_ROUNDS are not enough (clusters so dense that
+codes can't tell their rows apart, or too many rows without any structure), whole vectors are looked at instead of
+codes, and windows grow from round to round. Not to reach the recall within MOST_ROUNDS is an error.
 
 Equal vectors are indexed once, with the smallest k + 1 of their ids, so a vector held by a third of all
 rows is one point and a query's ties go to the smallest ids.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
-without id; fewer candidates than k give fewer rows; vectors of another length than the most frequent one
-take no part; ids that recur are separate rows to the candidates but one query; an empty table gives an empty result.
+without id; vectors of different lengths are not compared, each length is searched for itself; components as
+large or small as doubles allow are scaled by powers of two first; fewer candidates than k give fewer rows; ids
+that recur are separate rows to the candidates but one query; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,20 +28,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_parts, written
-
-CURVES, PROJECTED, KEY_BITS, WINDOW = 4, 6, 10, 64
-BLOCK_ROWS = 2048
-#: Queries that are broadcast at once, in bytes of vectors.
-QUERY_BYTES = 32 << 20
+from .common import remove, shuffle_parts, written
+
+ROUND_CURVES, PROJECTED, KEY_BITS, SALT_BITS = 8, 8, 6, 15
+#: Rows on either side that a query looks at, the most that this grows to, and rows of a range.
+WINDOW, MOST_WINDOW = 1024, 65_536
+RANGE_WINDOWS = 8
+#: Finds that a window reports and that are ranked exactly, as multiples of k + 1.
+REPORT, RERANK = 4, 8
+#: Recall that the sample must reach, and its queries.
+TARGET, SAMPLE_QUERIES = 0.95, 64
+CODED_ROUNDS, MOST_ROUNDS = 3, 40
+#: Rows that axes are stretched by, and keys that ranges are cut by.
+AXIS_SAMPLE, KEY_SAMPLE, KNOTS = 4096, 100_000, 513
+TASK_ROWS = 1_000_000
 FOUND = "q long, v long, score double"
 
 
-def hilbert_keys(points: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
+def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     """Place of each point (integers under 2**bits per axis) along the Hilbert curve, by Gray-code untwisting of the axes."""
     x = points.T.astype(np.int64).copy()
     n = len(x)
@@ -65,177 +77,284 @@ def hilbert_keys(points: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
     return key
 
 
-def projection(dim: int, out: int = PROJECTED) -> np.ndarray:
-    return np.random.default_rng(7).standard_normal((dim, out)) / np.sqrt(out)
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows multiplied by powers of two, so that their largest component is near one and squares stay finite."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=-1, keepdims=True))[1])
+
 
+def unit(m: np.ndarray) -> np.ndarray:
+    m = scaled(m)
+    return m / np.linalg.norm(m, axis=-1, keepdims=True)
 
-def curve_keys(vectors: np.ndarray, curve: int) -> np.ndarray:
-    """Keys of unit vectors on one of the curves; curve c turns and shifts the projected space by its own amount."""
-    rng = np.random.default_rng(100 + curve)
-    turned = vectors @ projection(vectors.shape[1]) @ np.linalg.qr(rng.standard_normal((PROJECTED, PROJECTED)))[0]
-    cells = (turned / 2 + 1.5 + rng.random(PROJECTED)) / 4 * (1 << KEY_BITS)
-    return hilbert_keys(np.clip(cells, 0, (1 << KEY_BITS) - 1).astype(np.int64))
 
+def cosines(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Cosine of one vector with each row, in double precision on the vectors as they are."""
+    q, m = scaled(q), scaled(m)
+    return (m * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((m * m).sum(axis=1)))
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+def cosine(a: Column, b: Column) -> Column:
+    """The same as a column."""
+
+    def near_one(v: Column) -> Column:
+        top = F.array_max(F.transform(v, F.abs))
+        half = F.pow(F.lit(2.0), -F.floor(F.log2(top) / 2))  # in two steps, as the whole power may not be a double
+        return F.transform(v, lambda x: x * half * half)
+
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    a, b = near_one(a), near_one(b)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))))
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col]) if len(col) else np.empty((0, 0))
 
 
-def cosines(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Cosine of one vector with each row, in double precision on the vectors as they are."""
-    return (m * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((m * m).sum(axis=1)))
+class Curves:
+    """Orderings of unit vectors: projections, and per axis the knots that spread a sample's rows evenly."""
+
+    def __init__(self, sample: np.ndarray, first: int, count: int):
+        dim = sample.shape[1]
+        self.axes = min(PROJECTED, dim)
+        self.turn, self.knots, self.shift = [], [], []
+        at = np.linspace(0, 1, KNOTS)
+        for c in range(first, first + count):
+            rng = np.random.default_rng(1000 + c)
+            turn = np.linalg.qr(rng.standard_normal((dim, self.axes)))[0]
+            self.turn.append(turn)
+            self.knots.append(np.quantile(sample @ turn, at, axis=0))
+            self.shift.append(rng.random(self.axes) / 2)
+
+    def keys(self, units: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        """Per curve: the place of each row along it, then bits of its id, so that rows in one cell can be cut apart."""
+        with np.errstate(over="ignore"):
+            salt = ((v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SALT_BITS)).astype(np.int64)
+        out = []
+        at = np.linspace(0, 1, KNOTS)
+        for turn, knots, shift in zip(self.turn, self.knots, self.shift):
+            p = units @ turn
+            x = np.stack([np.interp(p[:, i], knots[:, i], at) for i in range(self.axes)], axis=1) / 2 + shift
+            cells = np.minimum((x * (1 << KEY_BITS)).astype(np.int64), (1 << KEY_BITS) - 1)
+            out.append((hilbert_keys(cells, KEY_BITS) << SALT_BITS) | salt)
+        return out
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    v = F.col(vec_col).cast("array<double>")
+    v = F.col(f"`{vec_col}`").cast("array<double>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    found = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(ok)
-    sizes = found.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return found.filter(F.size("vec") == (sizes["d"] if sizes else 0))
+    return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(ok)
 
 
-def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """Distinct vectors: v (their smallest id), ids (the smallest k + 1), vec. Copies meet in each task first."""
+def distinct_vectors(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """Distinct vectors: v (their smallest id), ids (the smallest k + 1), vec, query (whether any id is one). Copies meet in each task first."""
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[bytes, list[int]] = {}
+        held: dict[bytes, tuple[list[int], list[bool]]] = {}
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(i, np.frombuffer(b, dtype="<f8")) for b, ids in held.items() for i in ids], columns=["id", "vec"])
+            out = pd.DataFrame([(i, np.frombuffer(b, dtype="<f8"), asks[0]) for b, (ids, asks) in held.items() for i in sorted(ids)[: k + 1]], columns=["id", "vec", "query"])
             held.clear()
             return out
 
         for b in batches:
             for i, v in zip(b["id"].tolist(), b["vec"]):
                 raw = (np.asarray(v, dtype="<f8") + 0.0).tobytes()
-                ids = held.setdefault(raw, [])
+                ids, asks = held.setdefault(raw, ([], [False]))
                 ids.append(i)
+                asks[0] |= i % every == 0
                 if len(ids) > 4 * (k + 1):
                     ids[:] = sorted(ids)[: k + 1]
             if len(held) > 50_000:
                 yield flush()
-        for raw, ids in held.items():
-            held[raw] = sorted(ids)[: k + 1]
         if held:
             yield flush()
 
-    few = rows.mapInPandas(combine, "id long, vec array<double>")
-    top = few.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("r") <= k + 1)
-    return top.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("v"), "ids", "vec")
-
-
-def _keyed(points: DataFrame, curve: int) -> DataFrame:
-    @F.pandas_udf("long")
-    def key(vec: pd.Series) -> pd.Series:
-        return pd.Series(curve_keys(_unit(_matrix(vec)), curve) if len(vec) else [], dtype="int64")
-
-    return points.withColumn("key", key("vec"))
+    few = rows.mapInPandas(combine, "id long, vec array<double>, query boolean")
+    top = few.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).withColumn("query", F.max("query").over(Window.partitionBy("vec"))).filter(F.col("r") <= k + 1)
+    return top.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.max("query").alias("query")).select(F.col("ids")[0].alias("v"), "ids", "vec", "query")
 
 
-def window_search(points: DataFrame, k: int, curve: int, parts: int, window: int = WINDOW) -> DataFrame:
-    """Finds of every query among the rows of its window and the neighbouring ones on one curve."""
-    dealt = _keyed(points, curve).repartitionByRange(parts, "key", "v").sortWithinPartitions("key", "v")
+def sample_truth(points: DataFrame, k: int) -> dict[int, tuple[list[float], int, float]]:
+    """Of a sample of queries: the vector, the number of its k + 1 nearest points (itself is one), and the last one's cosine, by one scan over all rows."""
+    drawn = points.filter("query").orderBy(F.xxhash64("v"), "v").limit(SAMPLE_QUERIES).select("v", "vec").collect()
+    asked = np.array([r["v"] for r in drawn], dtype=np.int64)
+    shared = points.sparkSession.sparkContext.broadcast((asked, unit(np.array([r["vec"] for r in drawn], dtype=np.float64))))  # SAMPLE_QUERIES vectors
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qid, q = shared.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(qid)
         for b in batches:
-            held = b if held is None else pd.concat([held.iloc[-2 * window :], b], ignore_index=True)
-            m = _matrix(held["vec"])
-            v = held["v"].to_numpy(np.int64)
-            out = []
-            for i in np.flatnonzero(held["query"].to_numpy(bool)):
-                lo, hi = max(0, i - window), min(len(v), i + window + 1)
-                s = cosines(m[i], m[lo:hi])
-                best = np.lexsort((v[lo:hi], -s))[: k + 1]
-                out += [(v[i], v[lo + j], s[j]) for j in best]
+            if not len(b):
+                continue
+            v, s = b["v"].to_numpy(np.int64), q @ unit(_matrix(b["vec"])).T
+            for j in range(len(qid)):
+                scores, ids = np.concatenate([best[j][0], s[j]]), np.concatenate([best[j][1], v])
+                top = np.lexsort((ids, -scores))[: k + 1]
+                best[j] = scores[top], ids[top]
+        out = [(int(qid[j]), i, x) for j, (scores, ids) in enumerate(best) for i, x in zip(ids.tolist(), scores.tolist())]
+        if out:
             yield pd.DataFrame(out, columns=["q", "v", "score"])
 
-    return dealt.select("v", "query", "vec").mapInPandas(search, FOUND)
+    rank = Window.partitionBy("q").orderBy(F.desc("score"), "v")
+    top = points.select("v", "vec").mapInPandas(scan, FOUND).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k + 1)
+    floors = {r["q"]: (r["n"], r["s"]) for r in top.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("s")).collect()}
+    return {r["v"]: (r["vec"], *floors[r["v"]]) for r in drawn}
+
 
+def sample_recall(points: DataFrame, best: DataFrame, truth: dict[int, tuple[list[float], int, float]], k: int) -> float:
+    """Share of the sample's true neighbours that finds come up to, by the exact cosine."""
+    found = F.broadcast(best.filter(F.col("q").isin(list(truth))).select("q", "v"))  # SAMPLE_QUERIES * RERANK * (k + 1) rows at most
+    got = dict.fromkeys(truth, 0)
+    vecs = {q: np.array(vec, dtype=np.float64) for q, (vec, _, _) in truth.items()}
+    for r in points.select("v", "vec").join(found, "v").collect():
+        got[r["q"]] += cosines(vecs[r["q"]], np.array([r["vec"]], dtype=np.float64))[0] >= truth[r["q"]][2] - 1e-9
+    return sum(min(got[q], n) for q, (_, n, _) in truth.items()) / max(1, sum(n for _, n, _ in truth.values()))
 
-def complete(points: DataFrame, floors: DataFrame, k: int, parts: int) -> DataFrame:
-    """Exact finds: blocks of the first curve's order against blocks of queries, skipping blocks that cannot matter."""
+
+def window_search(points: DataFrame, n: int, curves: Curves, count: int, k: int, window: int, whole: bool = False) -> DataFrame:
+    """Finds (q, v, score of the codes, or of whole vectors) of every query within its key windows on `count` curves."""
     spark = points.sparkSession
-    rows = written(_keyed(points, 0).repartitionByRange(parts, "key", "v").sortWithinPartitions("key", "v").select("v", "vec"), "ann-blocks")
-    asked = floors.select("v", "vec", "floor")
-    dim = asked.agg(F.max(F.size("vec")).alias("d"), F.count("*").alias("n")).first()
-    if not dim["n"]:
-        return spark.createDataFrame([], FOUND)
-    blocks = max(1, -(-(dim["n"] * dim["d"] * 8) // QUERY_BYTES))
-    out = None
-    for i in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("v"), F.lit(blocks)) == i).toPandas()  # at most about QUERY_BYTES
-        if not len(mine):
-            continue
-        shared = spark.sparkContext.broadcast((mine["v"].to_numpy(np.int64), _matrix(mine["vec"]), mine["floor"].to_numpy(np.float64)))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q, floor = shared.value
-            floor = floor.copy()
-            u = _unit(q)
-            best = [(np.empty(0), np.empty(0, np.int64))] * len(qid)
-            for b in batches:
-                for at in range(0, len(b), BLOCK_ROWS):
-                    part = b.iloc[at : at + BLOCK_ROWS]
-                    m = _matrix(part["vec"])
-                    v = part["v"].to_numpy(np.int64)
-                    w = _unit(m)
-                    c = w.mean(axis=0)
-                    norm = np.linalg.norm(c)
-                    c = c / norm if norm > 1e-12 else w[0]
-                    radius = np.arccos(np.clip(w @ c, -1, 1)).max()
-                    bound = np.cos(np.maximum(0, np.arccos(np.clip(u @ c, -1, 1)) - radius))
-                    live = np.flatnonzero(bound >= floor - 1e-9)
-                    if not len(live):
-                        continue
-                    s = u[live] @ w.T
-                    for j, row in zip(live, s):
-                        near = np.flatnonzero(row >= floor[j] - 1e-9)
-                        if len(near):
-                            exact = np.concatenate([best[j][0], cosines(q[j], m[near])])
-                            ids = np.concatenate([best[j][1], v[near]])
-                            top = np.lexsort((ids, -exact))[: k + 1]
-                            best[j] = exact[top], ids[top]
-                            if len(top) > k:
-                                floor[j] = max(floor[j], exact[top[-1]])
-            out = [(qid[j], v, s) for j, (scores, ids) in enumerate(best) for v, s in zip(ids.tolist(), scores.tolist())]
-            yield pd.DataFrame(out, columns=["q", "v", "score"])
+    # plain values, as workers have no module to unpickle a class from: a few projections, and KNOTS a curve and axis
+    shared = spark.sparkContext.broadcast((curves.turn, curves.knots, curves.shift, curves.axes))
 
-        found = rows.mapInPandas(scan, FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out
+    def opened() -> Curves:
+        c = Curves.__new__(Curves)
+        c.turn, c.knots, c.shift, c.axes = shared.value
+        return c
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = opened()
+        for b in batches:
+            if len(b):
+                found = c.keys(unit(_matrix(b["vec"])), b["v"].to_numpy(np.int64))
+                yield pd.DataFrame({"curve": np.repeat(np.arange(count), len(b)), "key": np.concatenate(found)})
+
+    draw = F.pmod(F.xxhash64("v"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    seen = points.filter(draw < min(1.0, KEY_SAMPLE / max(1, n))).select("v", "vec").mapInPandas(keys, "curve int, key long").toPandas()
+    ranges = max(1, min(-(-n // (RANGE_WINDOWS * window)), KEY_SAMPLE // 8))
+    at = np.linspace(0, 1, ranges + 1)[1:-1]
+    cuts = [np.sort(g["key"].to_numpy(np.int64))[(at * len(g)).astype(np.int64)] if len(g) else np.empty(0, np.int64) for _, g in sorted(seen.groupby("curve"))]
+    edges = spark.sparkContext.broadcast(cuts)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = opened()
+        for b in batches:
+            if not len(b):
+                continue
+            u, v, asks = unit(_matrix(b["vec"])), b["v"].to_numpy(np.int64), b["query"].to_numpy(bool)
+            size = np.abs(u).max(axis=1) / 127
+            if whole:
+                code, size = u, np.ones(len(u))
+            else:
+                code = np.rint(u / size[:, None]).astype(np.int8)
+            codes = np.array([x.tobytes() for x in code], dtype=object)
+            who = np.flatnonzero(asks)
+            for i, key in enumerate(c.keys(u, v)):
+                block = np.searchsorted(edges.value[i], key, side="right")
+                rows, spot, guest = [np.arange(len(b))], [block], [np.zeros(len(b), bool)]
+                for step in (-1, 1):
+                    on = who[(block[who] + step >= 0) & (block[who] + step < ranges)]
+                    rows.append(on)
+                    spot.append(block[on] + step)
+                    guest.append(np.ones(len(on), bool))
+                at = np.concatenate(rows)
+                yield pd.DataFrame({"spot": np.concatenate(spot) + i * ranges, "guest": np.concatenate(guest), "key": key[at], "v": v[at], "query": asks[at], "size": size[at].astype(np.float32), "code": codes[at]})
+
+    parts = max(1, min(count * ranges, max(shuffle_parts(spark), count * n // TASK_ROWS)))
+    dealt = points.select("v", "vec", "query").mapInPandas(deal, "spot long, guest boolean, key long, v long, query boolean, size float, code binary")
+    dealt = dealt.repartition(parts, "spot").sortWithinPartitions("spot", "guest", "key", "v")
+    most = REPORT * (k + 1)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def look(b: pd.DataFrame) -> pd.DataFrame:
+            guest, asks = b["guest"].to_numpy(bool), b["query"].to_numpy(bool)
+            code = np.frombuffer(b"".join(b["code"]), dtype=np.float64 if whole else np.int8).reshape(len(b), -1)
+            code = code if whole else code.astype(np.float32)
+            v, key, size = b["v"].to_numpy(np.int64), b["key"].to_numpy(np.int64), b["size"].to_numpy(np.float64)
+            n = int((~guest).sum())
+            out = []
+            for j in np.flatnonzero(asks):
+                # a row's own place, or where a guest's key would stand
+                at = j if j < n else int(np.searchsorted(key[:n], key[j]))
+                lo, hi = max(0, at - window), min(n, at + window + 1)
+                s = (code[lo:hi] @ code[j]).astype(np.float64) * size[lo:hi] * size[j]
+                top = np.argpartition(-s, most - 1)[:most] if len(s) > most else np.arange(len(s))
+                out.append((np.full(len(top), v[j]), v[lo + top], s[top]))
+            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+            return pd.DataFrame(dict(zip(("q", "v", "score"), cols)))
+
+        for b in batches:
+            spot = b["spot"].to_numpy(np.int64)
+            ends = np.flatnonzero(np.diff(spot)) + 1
+            for x in np.split(np.arange(len(b)), ends):
+                if not len(x):
+                    continue
+                part = b.iloc[x[0] : x[-1] + 1]
+                if held and held[0]["spot"].iloc[0] != part["spot"].iloc[0]:
+                    yield look(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(part)
+        if held:
+            yield look(pd.concat(held, ignore_index=True))
+
+    return dealt.mapInPandas(search, FOUND)
 
 
-def nearest(rows: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, curves: int = CURVES, exact: bool = True) -> DataFrame:
+def search_points(points: DataFrame, k: int, target: float = TARGET, window: int = WINDOW, round_curves: int = ROUND_CURVES) -> DataFrame:
+    """The best finds (q, v, score of the codes) of every query, RERANK * (k + 1) of them, once the sample's recall is reached."""
+    n = points.count()
+    truth = sample_truth(points, k)
+    axis = points.orderBy(F.xxhash64("v", F.lit(1)), "v").limit(AXIS_SAMPLE).select("vec").collect()
+    sample = unit(np.array([r["vec"] for r in axis], dtype=np.float64))
+    rank = Window.partitionBy("q").orderBy(F.desc("score"), "v")
+    best, first = None, 0
+    for done in range(MOST_ROUNDS):
+        whole = done >= CODED_ROUNDS
+        if done >= CODED_ROUNDS:
+            window = min(MOST_WINDOW, 2 * window)
+        if done == CODED_ROUNDS:
+            best = None  # scores of codes and of vectors don't mix
+        found = window_search(points, n, Curves(sample, first, round_curves), round_curves, k, window, whole)
+        before = best
+        merged = found if best is None else found.unionByName(best)
+        merged = merged.groupBy("q", "v").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= RERANK * (k + 1)).drop("r")
+        best = written(merged, "ann-finds")
+        if before is not None:
+            remove(points.sparkSession, before)
+        recall = sample_recall(points, best, truth, k)
+        if recall >= target:
+            return best
+        first += round_curves
+    raise RuntimeError(f"a recall of {recall:.3f} is reached after {MOST_ROUNDS} rounds of {round_curves} curves, not {target}")
+
+
+def nearest(rows: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, target: float = TARGET, window: int = WINDOW, round_curves: int = ROUND_CURVES) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose id is divisible by `every`."""
-    spark = rows.sparkSession
     good = usable(rows, id_col, vec_col)
-    queries = good.filter(F.col("id") % every == 0)
-    base = distinct_vectors(good, k)
-    asked = queries.select("vec").distinct().withColumn("query", F.lit(True))
-    points = written(base.join(asked, "vec", "left").select("v", "ids", "vec", F.coalesce("query", F.lit(False)).alias("query")), "ann-points")
-    parts = max(1, min(shuffle_parts(spark), points.count() // (4 * WINDOW) + 1))
-    found = window_search(points, k, 0, parts)
-    for c in range(1, curves):
-        found = found.unionByName(window_search(points, k, c, parts))
-    rank = Window.partitionBy("q").orderBy(F.desc("score"), "v")
-    top = written(found.groupBy("q", "v").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k + 1).drop("r"), "ann-windows")
-    if exact:
-        # the (k + 1)-th, since one may be the query's own vector
-        floor = top.groupBy("q").agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(-2.0)).alias("floor"))
-        floors = points.filter("query").join(floor, F.col("v") == F.col("q"), "left").select("v", "vec", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-        found = complete(points, floors, k, parts)
-        top = found.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k + 1).drop("r")
-    # back to rows: the finds' ids for each query row, less the row itself
-    ids = points.select("v", "ids")
-    near = top.join(ids, "v").select("q", "score", F.explode("ids").alias("vec_id"))
+    asked = good.filter(F.col("id") % every == 0)
+    out = None
+    for r in asked.groupBy(F.size("vec").alias("d")).count().orderBy("d").collect():  # as many as vectors have lengths
+        same = F.size("vec") == r["d"]
+        found = _nearest(good.filter(same), asked.filter(same), k, every, target, window, round_curves)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest(good: DataFrame, queries: DataFrame, k: int, every: int, target: float, window: int, round_curves: int) -> DataFrame:
+    points = written(distinct_vectors(good, k, every), "ann-points")
+    seen = points.agg(F.count("*").alias("n"), F.countDistinct("v").alias("d")).first()
+    if seen["n"] > seen["d"]:  # an id with several vectors: all but one get a number of their own
+        r = F.row_number().over(Window.partitionBy("v").orderBy("vec"))
+        points = written(points.withColumn("r", r).select(F.when(F.col("r") == 1, F.col("v")).otherwise(F.xxhash64("v", "r")).alias("v"), "ids", "vec", "query"), "ann-points")
+    best = search_points(points, k, target, window, round_curves)
+    of = points.filter("query").select(F.col("v").alias("q"), F.col("vec").alias("qvec"))
+    # the true cosine of each find, and its rows: its ids, less the query's own
+    near = best.join(points.select("v", "ids", "vec"), "v").join(of, "q").select("q", "ids", cosine(F.col("qvec"), F.col("vec")).alias("score"))
+    near = near.select("q", "score", F.explode("ids").alias("vec_id"))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     lists = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
-    of = points.filter("query").join(lists, F.col("v") == F.col("q")).select("vec", "near")
-    rows_of = queries.select("id", "vec").distinct().join(of, "vec")
+    rows_of = queries.select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")).distinct().join(of.join(lists, "q").select(F.col("qvec").alias("vec"), "near"), "vec")
     mine = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("id")), 1, k)
     return rows_of.select(F.col("id").alias("query_id"), F.posexplode(mine).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

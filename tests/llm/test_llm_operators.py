@@ -678,16 +678,51 @@ def test_neighbours_exact(spark):
         assert [v for v, _ in got[q]] == [v for v, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]], atol=1e-12)
 
 
-def test_neighbours_windows_alone_find_clusters(spark):
+def found_by(df, **how):
+    got = defaultdict(list)
+    for r in curves.nearest(df, **how).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return got
+
+
+def recall(got, want):
+    return sum(len({v for v, _ in got[q]} & {v for v, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_neighbours_recall_by_small_windows(spark):
+    """Windows of a few rows on clusters, one of them dense and as large as the rest, and on noise without any structure."""
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((60, 12))
     rows = [(i, (centres[i % 60] + 0.01 * rng.standard_normal(12)).tolist()) for i in range(1200)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    want = brute_nearest(rows)
-    got = defaultdict(set)
-    for r in curves.nearest(df, exact=False).collect():
-        got[r["query_id"]].add(r["vec_id"])
-    assert np.mean([len(got[q] & {v for v, _ in w}) / 5 for q, w in want.items()]) >= 0.9
+    rows += [(1200 + i, (centres[0] + 0.001 * rng.standard_normal(12)).tolist()) for i in range(1200)]
+    got = found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), window=32, target=0.97)
+    assert recall(got, brute_nearest(rows)) >= 0.9
+    rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), window=128)
+    assert recall(got, brute_nearest(rows)) >= 0.9
+
+
+def test_neighbours_hard_rows(spark):
+    """Ids that recur, lengths that differ, components at the ends of what a double holds, zeros of either sign."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 140, (v * 10.0 ** rng.integers(-200, 200)).tolist()) for i, v in enumerate(rng.standard_normal((160, 5)))]
+    rows += [(500, [1e308, -1e308, 1e308, 0.0, 0.0]), (501, [5e-324, -5e-324, 0.0, 0.0, 0.0]), (550, [0.0, 1.0, 0.0, 0.0, 0.0]), (551, [-0.0, 2.0, -0.0, 0.0, 0.0])]
+    rows += [(600 + i, [1.0, float(i)]) for i in range(60)] + [(1000, [3.0] * 7)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, v string").repartition(6)
+    got = found_by(df)
+    for q, found in got.items():
+        mine = [np.array(v) for i, v in rows if i == q]
+        best = {}
+        for i, v in rows:
+            if i != q:
+                for m in mine:
+                    if len(m) == len(v):
+                        best.setdefault(i, []).append(float(curves.cosines(m, np.array([v]))[0]))
+        assert all(any(abs(s - x) < 1e-9 for x in best[i]) for i, s in found) and all(np.isfinite(s) for _, s in found)
+    one = brute_nearest([r for r in rows if len(r[1]) == 2])
+    for q, w in one.items():
+        assert [v for v, _ in got[q]] == [v for v, _ in w]
+    assert got[550][0][0] == 551 and abs(got[550][0][1] - 1) < 1e-12 and 1000 not in got and set(one) == {600, 650}
 
 
 def test_hilbert_curve_is_continuous():
