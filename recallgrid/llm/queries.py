@@ -65,4 +65,51 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_url_filter, op3_mix, op4_fingerprint, op5_ngram_join, op6_chat, op7_warc, op8_toxicity, op9_neighbours, op10_language)}
-ORACLES: dict[str, str] = {}
+
+# SQL, for DuckDB
+
+UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: The driver's pages hold no links between hosts, so trust and distrust are the shares of a host's pages that rules allow and block.
+S_URL = rf"""
+WITH rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in url_trust.RULES)}) t(verdict, rule, own, start)),
+p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {UPPER_LOWER}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS verdict FROM p JOIN rules ON (host = own OR suffix(host, '.' || own)) AND starts_with(path, start) GROUP BY page_id),
+j AS (SELECT p.*, r.rule, r.verdict FROM p LEFT JOIN r USING (page_id)),
+h AS (SELECT host, (count_if(verdict = 'block') - count_if(verdict = 'allow')) / count(*) AS lead FROM j WHERE host <> '' GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN lead >= {url_trust.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN h ON j.host = h.host"""
+
+S_NGRAM = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+g AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS both_n, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * shared >= 75 * (both_n - shared)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.least, s.doc_id)) AS component_id FROM s LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) m ON s.doc_id = m.a"""
+
+
+def _s_escape(c: str) -> str:
+    return rf"regexp_replace(replace({c}, '\', '\\'), '([<\[])({chat.CONTROL_TAILS})', '\1\\\2', 'g')"
+
+
+S_CHAT = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+sum({len(chat.TURN + chat.TEXT + chat.END)} + len({_s_escape("role")}) + len({_s_escape("text")}))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM d"""
+
+S_WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), h AS (SELECT *, strlen(html)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS holder FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND page_id <> holder THEN holder END AS refers_to FROM h)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r"""
+
+#: The nearest of all rows; where a window holds all rows, as at this size, that is what is found.
+S_NEAREST = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), ok AS (SELECT * FROM e WHERE len(v) = len(list_filter(v, lambda x: isfinite(x))) AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM ok q JOIN ok c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+ORACLES: dict[str, str] = {"op2_url_filter": S_URL, "op5_ngram_join": S_NGRAM, "op6_chat": S_CHAT, "op7_warc": S_WARC, "op9_neighbours": S_NEAREST}
