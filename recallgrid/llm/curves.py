@@ -88,22 +88,18 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Cosine of one vector with each row, in double precision on the vectors as they are."""
-    q, m = scaled(q), scaled(m)
-    return (m * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((m * m).sum(axis=1)))
+    """Cosine of one vector, or of each row's own, with each row, in double precision on the vectors as they are, summed from the first component on."""
+    q, m = scaled(np.atleast_2d(q)), scaled(m)
+    dot = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]
+    return np.clip(dot(q, m) / np.sqrt(dot(q, q) * dot(m, m)), -1, 1)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """The same as a column."""
+    @F.pandas_udf("double")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(cosines(_matrix(x), _matrix(y)) if len(x) else [], dtype="float64")
 
-    def near_one(v: Column) -> Column:
-        top = F.array_max(F.transform(v, F.abs))
-        half = F.pow(F.lit(2.0), -F.floor(F.log2(top) / 2))  # in two steps, as the whole power may not be a double
-        return F.transform(v, lambda x: x * half * half)
-
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    a, b = near_one(a), near_one(b)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))))
+    return of(a, b)
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -232,9 +228,9 @@ def window_search(points: DataFrame, n: int, curves: Curves, count: int, k: int,
     draw = F.pmod(F.xxhash64("v"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     seen = points.filter(draw < min(1.0, KEY_SAMPLE / max(1, n))).select("v", "vec").mapInPandas(keys, "curve int, key long").toPandas()
     ranges = max(1, min(-(-n // (RANGE_WINDOWS * window)), KEY_SAMPLE // 8))
-    at = np.linspace(0, 1, ranges + 1)[1:-1]
-    cuts = [np.sort(g["key"].to_numpy(np.int64))[(at * len(g)).astype(np.int64)] if len(g) else np.empty(0, np.int64) for _, g in sorted(seen.groupby("curve"))]
-    edges = spark.sparkContext.broadcast(cuts)
+    along = [np.sort(g["key"].to_numpy(np.int64)) for _, g in sorted(seen.groupby("curve"))]
+    edges = spark.sparkContext.broadcast(along)  # KEY_SAMPLE keys a curve
+    borders = lambda keys: (np.linspace(0, 1, ranges + 1) * len(keys)).astype(np.int64)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = opened()
@@ -250,10 +246,15 @@ def window_search(points: DataFrame, n: int, curves: Curves, count: int, k: int,
             codes = np.array([x.tobytes() for x in code], dtype=object)
             who = np.flatnonzero(asks)
             for i, key in enumerate(c.keys(u, v)):
-                block = np.searchsorted(edges.value[i], key, side="right")
+                keys_, at = edges.value[i], borders(edges.value[i])
+                block = np.searchsorted(keys_[at[1:-1]], key, side="right")
+                place = np.searchsorted(keys_, key, side="right")
+                # a query is a guest where its window reaches over the border, by its place among the sample's keys
+                reach = (1.5 * window * len(keys_) / n) + (8 if len(keys_) < n else 0)
                 rows, spot, guest = [np.arange(len(b))], [block], [np.zeros(len(b), bool)]
                 for step in (-1, 1):
-                    on = who[(block[who] + step >= 0) & (block[who] + step < ranges)]
+                    far = np.abs(place - at[block + (step > 0)])
+                    on = who[((block + step >= 0) & (block + step < ranges) & (far <= reach))[who]]
                     rows.append(on)
                     spot.append(block[on] + step)
                     guest.append(np.ones(len(on), bool))
