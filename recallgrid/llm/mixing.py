@@ -12,7 +12,8 @@ them: whether a document is played in the partial epoch follows from its own key
 
 Edge cases: a null source is a source of its own (given back as null); null and empty texts count one
 token; repeated rows share their key and are played together; a tie at the budget's end plays the whole
-tie; an empty table gives an empty result; columns of the input keep their names and values.
+tie; an empty table gives an empty result; columns of the input keep their names and values, but for
+those that the result names (mix_epoch, mix_block, mix_order, mix_weight), which it replaces.
 """
 
 from __future__ import annotations
@@ -123,8 +124,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     blocks = max(1, -(-(n["n"] or 0) // block_docs))
     block = lambda k: F.conv(F.substring(k, 1, 8), 16, 10).cast("long") % blocks
     mixture = plan_mixture(slim.withColumn("block", block(F.col("key"))), max_repeat, target_entropy, budget_tokens)
-    names = dict(zip(docs.columns, [f"_c{i}" for i in range(len(docs.columns))]))
-    own = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in docs.columns], src.alias("_src"), key.alias("_key"), block(key).alias("_block"))
+    kept = [c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_order", "mix_weight")]
+    names = dict(zip(kept, [f"_c{i}" for i in range(len(kept))]))
+    own = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in kept], src.alias("_src"), key.alias("_key"), block(key).alias("_block"))
     plan = mixture.plan.select(F.col("src").alias("_src"), "epochs", "rest", "edge_block", "edge_key", "weight")
     if n["s"] <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
@@ -134,5 +136,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     played = own.join(plan, "_src").withColumn("_plays", plays).filter("_plays > 0")
     played = played.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_plays") - 1)))
     return played.select(
-        *[F.col(names[c]).alias(c) for c in docs.columns], "mix_epoch", _order(F.col("_block"), F.col("mix_epoch")).alias("mix_block"), _order(F.col("_key"), F.col("mix_epoch")).alias("mix_order"), F.round("weight", 9).alias("mix_weight")
+        *[F.col(names[c]).alias(c) for c in kept], "mix_epoch", _order(F.col("_block"), F.col("mix_epoch")).alias("mix_block"), _order(F.col("_key"), F.col("mix_epoch")).alias("mix_order"), F.round("weight", 9).alias("mix_weight")
     )

@@ -10,13 +10,15 @@ needed (prefix, size and position filters; none loses a pair).
 2. Prefix shingles go, packed, to buckets of the order's hash; a shingle held by few sets gives all pairs
    that pass the filters, one held by more gives a star around one set and a chain in order of size.
 3. Candidate pairs whose parity sketches differ in more cells than linked sets could are dropped (the sketches'
-   difference never exceeds the sets'). The rest are verified by vertical partitioning: both sets are cut, by pivots of the global
-   order, into FRAGMENTS; overlaps are counted per fragment, and summed per pair.
+   difference never exceeds the sets'). The rest are verified by vertical partitioning: the sets are cut, by pivots of the global
+   order, into FRAGMENTS, which are dealt to tasks each for itself; a task counts the overlaps of pairs in its fragment alone,
+   and the partial counts are summed per pair. Fragments carry DIGEST_BYTES of each shingle's hash.
 4. Linked sets are joined to components (large star, small star). Where long lists still hold sets of
    different components, these lists' sets form regions; all of a region but its largest component is
-   compared, block by block, with the whole region over an index of the block's shingles, again fragment
-   by fragment, and the components are joined again. Only links that join components come out, so no
-   link between components is missed, and no group's pairs are all made.
+   compared, block by block, with the whole region over an index of the block's shingles, one fragment after the
+   other in the block's task (partial counts of all pairs would grow with the square of a region), and the components
+   are joined again. Only links that join components come out, so no link between components is missed, and no
+   group's pairs are all made.
 
 Edge cases: null texts, empty texts and texts of white space have an empty set and link with nothing; a text of
 fewer words than n has one shingle, the whole sequence; rows may repeat, and a doc_id may recur with
@@ -41,6 +43,8 @@ WORDS = 5
 #: The threshold as a fraction.
 NUM, DEN = 75, 100
 FRAGMENTS = 4
+#: Two shingles of a pair that differ pass for equal in 2**48 cases: for two sets of 20,000 at odds of about one in a million.
+DIGEST_BYTES = 6
 SKETCH_BITS, BLOCK_BITS = 22, 16
 BLOOM_BITS = 25
 #: Sets that a shingle's list pairs outright, and neighbours in the chain of a longer one.
@@ -49,6 +53,8 @@ SMALL_LIST, CHAIN = 8, 2
 BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 2_000_000
 #: Spokes of a hub that one task compares at a time, and shingles in a block of a region.
 HUB_SPOKES = 64
+#: Sets of a long list in one row.
+LIST_ROWS = 512
 BLOCK_SHINGLES = 1_000_000
 #: Most cells of a set's parity sketch, as a power of two.
 PARITY_BITS = 15
@@ -255,8 +261,8 @@ def _passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (DEN * na >= NUM * nb) & ((NUM + DEN) * room >= NUM * (na + nb)) & (a["s"] != b["s"])
 
 
-def list_pairs(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Candidate pairs of one bucket, and its long lists (id, sets, sizes) for the check across components."""
+def list_pairs(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Candidate pairs of one bucket, and its long lists (id, place, sets, sizes), cut to LIST_ROWS, for the check across components."""
     rec = rec[np.lexsort((rec["s"], rec["n"], rec["t"]))]
     keep = np.ones(len(rec), dtype=bool)
     keep[1:] = (rec["t"][1:] != rec["t"][:-1]) | (rec["s"][1:] != rec["s"][:-1])
@@ -288,27 +294,27 @@ def list_pairs(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int,
         right += [np.full(len(a), g["s"][hub]), b["s"]]
         with np.errstate(over="ignore"):
             ident = int(mixed(np.array([rank.sum() + np.uint64(n)], dtype=np.uint64))[0] >> np.uint64(1))
-        long_lists.append((ident, g["s"], g["n"]))
+        long_lists += [(ident, i, g["s"][i : i + LIST_ROWS], g["n"][i : i + LIST_ROWS]) for i in range(0, n, LIST_ROWS)]
     a, b = np.concatenate(left or [np.empty(0, np.int64)]), np.concatenate(right or [np.empty(0, np.int64)])
     pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
     return pair[:, 0], pair[:, 1], long_lists
 
 
 def candidates(posted: DataFrame) -> DataFrame:
-    """Rows (a, b) of candidate pairs, and rows (gid, sets, sizes) of long lists, each list once per bucket."""
-    fields = ["a", "b", "gid", "sets", "sizes"]
+    """Rows (a, b) of candidate pairs, and rows (gid, part, sets, sizes) of long lists, each list once per bucket."""
+    fields = ["a", "b", "gid", "part", "sets", "sizes"]
 
     def pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, lists = list_pairs(np.concatenate([unpack_postings(d) for d in pdf["data"]]))
-        lists = list({i: (i, s.astype("<i8").tobytes(), n.astype("<u4").tobytes()) for i, s, n in lists}.values())
+        lists = list({(i, at): (i, at, s.astype("<i8").tobytes(), n.astype("<u4").tobytes()) for i, at, s, n in lists}.values())
         blank = [None] * len(lists)
         out = {k: pd.array([*x.tolist(), *blank], dtype="Int64") for k, x in (("a", a), ("b", b))}
         blank = [None] * len(a)
-        out["gid"] = pd.array([*blank, *(x[0] for x in lists)], dtype="Int64")
-        out["sets"], out["sizes"] = (pd.Series([*blank, *(x[i] for x in lists)], dtype=object) for i in (1, 2))
+        out["gid"], out["part"] = (pd.array([*blank, *(x[i] for x in lists)], dtype="Int64") for i in (0, 1))
+        out["sets"], out["sizes"] = (pd.Series([*blank, *(x[i] for x in lists)], dtype=object) for i in (2, 3))
         return pd.DataFrame(out, columns=fields)
 
-    return posted.groupBy("bucket").applyInPandas(pair_up, "a long, b long, gid long, sets binary, sizes binary")
+    return posted.groupBy("bucket").applyInPandas(pair_up, "a long, b long, gid long, part long, sets binary, sizes binary")
 
 
 def id_test(ids: DataFrame, bits: int = BLOOM_BITS):
@@ -422,45 +428,57 @@ def may_link(routed: DataFrame, docs: DataFrame, reps: DataFrame, words: int = W
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, words: int = WORDS) -> DataFrame:
     """Pairs (a, b) at or over the threshold, by overlaps per fragment summed per pair.
 
-    Each pair is routed to its hub; a hub's row goes once to each of its groups of spokes, a spoke's row to
-    each of its pairs. Only pairs that pass the parity sketches get their texts.
+    Each pair is routed to its hub; a hub's fragments go once to each of its groups of spokes, a spoke's to
+    each of its pairs, every fragment to a task of its own. Only pairs that pass the parity sketches get that far.
     """
     parts = shuffle_parts(pairs.sparkSession)
     seats = seats_of(may_link(routes(pairs), docs, reps, words))
-    seated = with_texts(seats, docs, reps).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("sid") != F.col("hub"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         o = Order(*order.value)
-        at, hub_set, met = None, None, set()
         for b in batches:
             out = []
             for hub, salt, sid, text in zip(b["hub"].tolist(), b["salt"].tolist(), b["sid"].tolist(), b["text"]):
-                if at == (hub, salt) and sid in met:
-                    continue  # a repeated row
                 s = shingles(text, words)
-                if sid == hub:
-                    at, hub_set, met = (hub, salt), s, {sid}
-                    continue
-                if at != (hub, salt):
-                    raise ValueError("a spoke came without its hub")
+                f = o.fragment(s)
+                # the low bytes, in order, of each fragment; an empty one can't overlap
+                for i in np.unique(f).tolist():
+                    part = np.sort(s[f == i] & np.uint64((1 << (8 * DIGEST_BYTES)) - 1))
+                    out.append((hub, salt, i, sid, len(s), part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :DIGEST_BYTES].tobytes()))
+            yield pd.DataFrame(out, columns=["hub", "salt", "fragment", "sid", "size", "digests"])
+
+    cuts = with_texts(seats, docs, reps).select("hub", "salt", "sid", "text").mapInPandas(cut, "hub long, salt int, fragment int, sid long, size long, digests binary")
+    seated = cuts.repartition(parts, "hub", "salt", "fragment").sortWithinPartitions("hub", "salt", "fragment", F.col("sid") != F.col("hub"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own, size, met = None, None, 0, set()
+        for b in batches:
+            out = []
+            for hub, salt, fragment, sid, n, digests in zip(*(b[k].tolist() for k in ("hub", "salt", "fragment", "sid", "size", "digests"))):
+                if at != (hub, salt, fragment):
+                    at, own, met = (hub, salt, fragment), None, set()
+                if sid in met:
+                    continue  # a repeated row
                 met.add(sid)
-                if min(len(s), len(hub_set)) * DEN < NUM * max(len(s), len(hub_set)):
-                    continue
-                i = np.minimum(np.searchsorted(hub_set, s), len(hub_set) - 1)
-                shared = s[hub_set[i] == s]
-                for f, n in enumerate(np.bincount(o.fragment(shared), minlength=FRAGMENTS).tolist()):
-                    if n:
-                        out.append((min(hub, sid), max(hub, sid), f, n, len(s) + len(hub_set)))
-            yield pd.DataFrame(out, columns=["a", "b", "fragment", "n", "sizes"])
-
-    partial = seated.select("hub", "salt", "sid", "text").mapInPandas(count, "a long, b long, fragment int, n long, sizes long")
+                raw = np.zeros((len(digests) // DIGEST_BYTES, 8), dtype=np.uint8)
+                raw[:, :DIGEST_BYTES] = np.frombuffer(digests, dtype=np.uint8).reshape(-1, DIGEST_BYTES)
+                s = raw.reshape(-1).view("<u8")
+                if sid == hub:
+                    own, size = s, n
+                elif own is not None:  # else the hub has nothing in this fragment
+                    i = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                    if shared := int(np.count_nonzero(own[i] == s)):
+                        out.append((min(hub, sid), max(hub, sid), shared, n + size))
+            yield pd.DataFrame(out, columns=["a", "b", "n", "sizes"], dtype="int64")
+
+    partial = seated.mapInPandas(count, "a long, b long, n long, sizes long")
     overlap = partial.groupBy("a", "b").agg(F.sum("n").alias("o"), F.max("sizes").alias("sizes"))
     return overlap.filter(F.lit(NUM + DEN) * F.col("o") >= F.lit(NUM) * F.col("sizes")).select("a", "b")
 
 
-def components(edges: DataFrame, most_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """node, label (smallest node of its component), every node named. Up to `few` edges are joined in one
-    task; more by alternating large and small stars."""
+    task; more by alternating large and small stars until nothing moves."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
     if e.count() <= few:
 
@@ -474,7 +492,7 @@ def components(edges: DataFrame, most_rounds: int = 60, few: int = FEW_EDGES) ->
             yield pd.DataFrame({"node": nodes, "label": [root(parent, x) for x in nodes]}, dtype="int64")
 
         return e.coalesce(1).mapInPandas(join, "node long, label long")
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
@@ -491,18 +509,20 @@ def components(edges: DataFrame, most_rounds: int = 60, few: int = FEW_EDGES) ->
 
 def regions(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """sid, n, label, region of the sets in long lists that hold more than one component."""
-    one = lists.groupBy("gid").agg(F.first(F.struct("sets", "sizes")).alias("l")).select("gid", "l.sets", "l.sizes")
+    one = lists.groupBy("gid", "part").agg(F.first(F.struct("sets", "sizes")).alias("l")).select("gid", "part", "l.sets", "l.sizes")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for gid, s, n in zip(b["gid"].tolist(), b["sets"], b["sizes"]):
-                yield pd.DataFrame({"gid": gid, "sid": np.frombuffer(s, dtype="<i8"), "n": np.frombuffer(n, dtype="<u4").astype(np.int64)})
+            for gid, part, s, n in zip(b["gid"].tolist(), b["part"].tolist(), b["sets"], b["sizes"]):
+                yield pd.DataFrame({"gid": gid, "part": part, "sid": np.frombuffer(s, dtype="<i8"), "n": np.frombuffer(n, dtype="<u4").astype(np.int64)})
 
-    rows = one.mapInPandas(unpack, "gid long, sid long, n long")
-    rows = rows.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("gid", "sid", "n", F.coalesce("label", "sid").alias("label"))
+    rows = one.mapInPandas(unpack, "gid long, part long, sid long, n long")
+    rows = rows.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("gid", "part", "sid", "n", F.coalesce("label", "sid").alias("label"))
     rows = written(rows, "ngram-lists")
     mixed_lists = rows.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("sid").alias("hub")).filter("x < y").select("gid", "hub")
-    held = rows.join(mixed_lists, "gid").select("sid", "n", "label", "hub").distinct()
+    # a list's parts meet its hub apart from each other
+    hubs = rows.select("gid", "part").distinct().join(mixed_lists, "gid")
+    held = rows.join(hubs, ["gid", "part"]).select("sid", "n", "label", "hub").distinct()
     held = written(held, "ngram-held")
     region = components(held.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
     return written(held.select("sid", "n", "label").distinct().join(region.select(F.col("node").alias("sid"), F.col("label").alias("region")), "sid"), "ngram-regions")
@@ -594,7 +614,7 @@ def link(docs: DataFrame, words: int = WORDS) -> DataFrame:
     pairs = written(found.filter("a is not null").select("a", "b").distinct(), "ngram-pairs")
     edges = written(verify(pairs, docs, reps, order, words), "ngram-edges")
     labels = written(components(edges), "ngram-labels")
-    lists = found.filter("gid is not null").select("gid", "sets", "sizes")
+    lists = found.filter("gid is not null").select("gid", "part", "sets", "sizes")
     if lists.head(1):
         members = regions(lists, labels)
         if members.head(1):
@@ -611,7 +631,11 @@ def link(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs with one row of each group of linked documents, that of the smallest doc_id; rows without words stay."""
+    """docs with one row of each group of linked documents, that of the smallest doc_id; rows without words stay.
+
+    Of rows that repeat a doc_id and its text one stays, the first in order of all its columns (maps apart). Columns
+    keep their names and values, whatever they are; an empty table gives an empty result.
+    """
     from pyspark.sql.window import Window
 
     links = link(docs.select("doc_id", "text"), words)
@@ -623,6 +647,7 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns]).alias("d").join(kept.alias("k"), (ids == F.col("k._i")) & (F.xxhash64("d.text") == F.col("k._h")))
     names = [f"_c{i}" for i in range(len(docs.columns))]
     flat = rows.select(*[c.alias(n) for c, n in zip(own, names)], F.col("k._i").alias("_i"), F.col("k._h").alias("_h"), F.col("k._one").alias("_one"))
+    order = [F.col(n) for n, f in zip(names, docs.schema) if "map<" not in f.dataType.simpleString()] or [F.lit(1)]
     # a repeated row stands once
-    first = flat.withColumn("_r", F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.lit(1)))).filter("_r = 1 or not _one")
+    first = flat.withColumn("_r", F.row_number().over(Window.partitionBy("_i", "_h").orderBy(*order))).filter("_r = 1 or not _one")
     return first.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

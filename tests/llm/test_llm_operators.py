@@ -126,6 +126,14 @@ def test_url_propagation_against_dense(spark):
     assert {h for h in hosts if got[h]["url_verdict"] == "block"} == {"bad.com", "links.b"}
 
 
+def test_url_clash_long_and_repeated(spark):
+    long = "http://a.com/en/" + "x" * 200_000
+    pages = spark.createDataFrame([(1, long, None, "mine"), (1, long, None, "mine"), (2, "http://" + "h" * 100_000, None, "mine")], "page_id long, url string, html string, _r string").withColumn("rule_found", F.lit(7))
+    out = url_trust.judge(pages).orderBy("page_id").collect()
+    assert [(r["page_id"], r["url_verdict"], r["_r"], r["rule_found"]) for r in out] == [(1, "block", "mine", 7)] * 2 + [(2, "allow", "mine", 7)]
+    assert len(out[0]["url_path"]) == 200_004 and len(out[2]["url_host"]) == 100_000
+
+
 def test_url_empty(spark):
     assert url_trust.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -172,6 +180,14 @@ def test_mix_entropy_and_budget(spark):
     assert abs(len(out) - 50) <= 2 and abs(-(p * np.log(p) + (1 - p) * np.log(1 - p)) - 0.5) < 0.05
 
 
+def test_mix_ties_and_clash(spark):
+    rows = [(i % 5, "a" if i < 30 else "b", "one two") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("mix_epoch", F.lit("mine")).withColumn("_src", F.lit(1))
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "source", "text", "_src", "mix_epoch", "mix_block", "mix_order", "mix_weight"]
+    assert out.filter("mix_epoch = 0").count() == 40 and out.schema["mix_epoch"].dataType.simpleString() == "int"
+
+
 def test_mix_empty_and_columns(spark):
     empty = mixing.mix(docs_of(spark, []))
     assert empty.count() == 0
@@ -316,6 +332,23 @@ def test_keep_one(spark):
     assert ngram_join.keep_one(docs_of(spark, [])).count() == 0
 
 
+def test_keep_one_names_the_row_that_stays(spark):
+    rows = [(1, "a b c d e f", x) for x in ("z", "k", "m")] + [(2, "a b c d e f", "a")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, _i string").repartition(parts)
+        assert [tuple(r) for r in ngram_join.keep_one(df).collect()] == [(1, "a b c d e f", "k")]
+
+
+def test_ngram_long_lists_in_parts(spark, monkeypatch):
+    """A passage in more sets than a row of a list holds, in several groups of near copies."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(120)]
+    texts = [" ".join(passage + [f"g{g}w{i}" for i in range(25)] + [f"u{rng.randrange(10**7)}" for _ in range(3)]) for g in range(12) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(df).collect()}
+    assert got == brute_links(list(enumerate(texts)))
+
+
 def test_ngram_parity_never_exceeds_the_difference():
     rng = np.random.default_rng(5)
     for n, m, common in ((0, 1, 0), (1, 1, 1), (5, 40, 3), (300, 310, 250), (300, 1300, 290), (5000, 4000, 3900), (60000, 50000, 45000)):
