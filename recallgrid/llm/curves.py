@@ -223,12 +223,12 @@ def window_search(points: DataFrame, n: int, curves: Curves, count: int, k: int,
         for b in batches:
             if len(b):
                 found = c.keys(unit(_matrix(b["vec"])), b["v"].to_numpy(np.int64))
-                yield pd.DataFrame({"curve": np.repeat(np.arange(count), len(b)), "key": np.concatenate(found)})
+                yield pd.DataFrame({"curve": np.arange(count), "keys": [x.astype("<i8").tobytes() for x in found]})
 
     draw = F.pmod(F.xxhash64("v"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    seen = points.filter(draw < min(1.0, KEY_SAMPLE / max(1, n))).select("v", "vec").mapInPandas(keys, "curve int, key long").toPandas()
+    seen = points.filter(draw < min(1.0, KEY_SAMPLE / max(1, n))).select("v", "vec").mapInPandas(keys, "curve int, keys binary").toPandas()
     ranges = max(1, min(-(-n // (RANGE_WINDOWS * window)), KEY_SAMPLE // 8))
-    along = [np.sort(g["key"].to_numpy(np.int64)) for _, g in sorted(seen.groupby("curve"))]
+    along = [np.sort(np.frombuffer(b"".join(map(bytes, seen["keys"][seen["curve"] == c])), dtype="<i8")) for c in range(count)]
     edges = spark.sparkContext.broadcast(along)  # KEY_SAMPLE keys a curve
     borders = lambda keys: (np.linspace(0, 1, ranges + 1) * len(keys)).astype(np.int64)
 
