@@ -127,7 +127,7 @@ S_FOLD = "list_reduce(l, lambda a, x: CASE WHEN a.n >= 5 THEN a WHEN a.used + x.
 
 
 @query(
-    f"WITH {S_BM25}, tok AS (SELECT doc_id AS item_id, {s_estimate('text')} AS tokens FROM documents), l AS (SELECT query_id, list({{'used': tokens, 'n': 0::BIGINT, 'dropped': 0::BIGINT}} ORDER BY rank) AS l FROM ranked JOIN tok USING (item_id) WHERE rank <= 50 GROUP BY query_id), "
+    f"WITH {S_BM25}, tok AS (SELECT doc_id AS item_id, {s_estimate('text')} AS tokens FROM documents), l AS (SELECT query_id, list({{'used': tokens, 'n': 0::BIGINT, 'dropped': 0::BIGINT}} ORDER BY rank) AS l FROM ranked JOIN tok USING (item_id) GROUP BY query_id), "
     f"f AS (SELECT query_id, {S_FOLD} AS f FROM l) SELECT query_id, f.used AS used, f.n AS picked, f.dropped AS dropped FROM f"
 )
 def retrieve_token_budget(spark, sf):
@@ -140,7 +140,7 @@ S_SCORES = "SELECT query_id, round(coalesce(hits, 0) / greatest(1, least(3, coal
 
 
 @query(
-    f"WITH {S_BM25}, r AS (SELECT doc_id % 40 AS query_id, doc_id AS item_id FROM labels WHERE quality = 1), rel AS (SELECT query_id, count(*) AS relevant FROM r GROUP BY query_id), top AS (SELECT * FROM ranked WHERE rank <= 3), "
+    f"WITH {S_BM25}, r AS (SELECT doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS query_id, doc_id AS item_id FROM labels WHERE quality = 1), rel AS (SELECT query_id, count(*) AS relevant FROM r GROUP BY query_id), top AS (SELECT * FROM ranked WHERE rank <= 3), "
     f"sel AS (SELECT query_id, count(*) AS selected FROM top GROUP BY query_id), h AS (SELECT query_id, count(*) AS hits, min(rank) AS first FROM top SEMI JOIN r USING (query_id, item_id) GROUP BY query_id) {S_SCORES}"
 )
 def evaluate_retrieval(spark, sf):

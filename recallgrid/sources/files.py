@@ -60,23 +60,26 @@ def json_text(raw: str) -> str:
     except json.JSONDecodeError:
         return raw
     if isinstance(data, list) and data and isinstance(data[0], dict):
-        if "mapping" in data[0] or "title" in data[0]:
-            return export_text(data)
-        if "role" in data[0]:
-            return "\n\n".join(f"{m.get('role', 'unknown').capitalize()}: {m.get('content', '')}" for m in data)
+        said = [m for m in data if isinstance(m, dict)]  # what is no message is passed over
+        try:
+            if "mapping" in data[0] or "title" in data[0]:
+                return export_text(said)
+            if "role" in data[0]:
+                return "\n\n".join(f"{str(m.get('role') or 'unknown').capitalize()}: {'' if m.get('content') is None else m['content']}" for m in said)
+        except (AttributeError, TypeError):  # of another shape than its first entry promises: shown as it is
+            pass
     return json.dumps(data, indent=2, ensure_ascii=False)
 
 
 def zip_text(data: bytes) -> str:
-    try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            names = z.namelist()
-            if found := next((n for n in names if EXPORT_NAME in n), None):
-                return json_text(z.read(found).decode("utf-8", "replace"))
-            texts = [z.read(n).decode("utf-8", "replace") for n in names if n.lower().endswith(MEMBER_SUFFIXES)]
-            return "\n\n".join(texts) if texts else "Empty ZIP archive"
-    except zipfile.BadZipFile:
+    if not zipfile.is_zipfile(io.BytesIO(data)):
         return data.decode("utf-8", "replace")
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        if found := next((n for n in names if EXPORT_NAME in n), None):
+            return json_text(z.read(found).decode("utf-8", "replace"))
+        texts = [z.read(n).decode("utf-8", "replace") for n in names if n.lower().endswith(MEMBER_SUFFIXES)]
+        return "\n\n".join(texts) if texts else "Empty ZIP archive"
 
 
 def pdf_text(data: bytes) -> str:
@@ -92,6 +95,14 @@ def pdf_text(data: bytes) -> str:
     return "\n\n".join(said) if said else "[PDF without text]"
 
 
+def _parsed(suffix: str, data: bytes) -> str:
+    """A file's text; one that can't be parsed is told of in its place, so that it doesn't fail the others."""
+    try:
+        return zip_text(data) if suffix == "zip" else pdf_text(data) if suffix == "pdf" else json_text(data.decode("utf-8", "replace"))
+    except Exception as e:  # whatever a broken or encrypted member raises
+        return f"[{suffix.upper()} could not be read: {type(e).__name__}]"
+
+
 def parse_files(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """name, text of binary files, by suffix. Text and HTML stay in the JVM; archives, JSON and PDF go through Arrow."""
     suffix = F.lower(F.regexp_extract(F.col(name), r"\.([^./\\]*)$", 1))
@@ -101,8 +112,8 @@ def parse_files(files: DataFrame, name: str = "path", content: str = "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [zip_text(bytes(c)) if s == "zip" else pdf_text(bytes(c)) if s == "pdf" else json_text(bytes(c).decode("utf-8", "replace")) for s, c in zip(b["suffix"], b["content"])]
-            yield pd.DataFrame({"name": b["name"], "text": texts})
+            texts = [_parsed(s, bytes(c)) for s, c in zip(b["suffix"], b["content"])]
+            yield pd.DataFrame({"name": b["name"], "text": pd.Series(texts, index=b.index, dtype=object)})
 
     other = base.filter(F.col("suffix").isin("zip", "json", "pdf")).mapInPandas(parse, "name string, text string")
     return own.unionByName(other)
