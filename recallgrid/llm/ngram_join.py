@@ -50,9 +50,11 @@ BLOOM_BITS = 25
 #: Sets that a shingle's list pairs outright, and neighbours in the chain of a longer one.
 SMALL_LIST, CHAIN = 8, 2
 #: Postings of a bucket, and of a task before it sends them on.
-BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 2_000_000
+BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 1_000_000
 #: Spokes of a hub that one task compares at a time, and shingles in a block of a region.
 HUB_SPOKES = 64
+#: Bytes of fragments that a task holds before it sends them on.
+FLUSH_BYTES = 4 << 20
 #: Sets of a long list in one row.
 LIST_ROWS = 512
 BLOCK_SHINGLES = 1_000_000
@@ -436,8 +438,9 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, words: int
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         o = Order(*order.value)
+        names = ["hub", "salt", "fragment", "sid", "size", "digests"]
         for b in batches:
-            out = []
+            out, held = [], 0
             for hub, salt, sid, text in zip(b["hub"].tolist(), b["salt"].tolist(), b["sid"].tolist(), b["text"]):
                 s = shingles(text, words)
                 f = o.fragment(s)
@@ -445,7 +448,12 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, words: int
                 for i in np.unique(f).tolist():
                     part = np.sort(s[f == i] & np.uint64((1 << (8 * DIGEST_BYTES)) - 1))
                     out.append((hub, salt, i, sid, len(s), part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :DIGEST_BYTES].tobytes()))
-            yield pd.DataFrame(out, columns=["hub", "salt", "fragment", "sid", "size", "digests"])
+                held += DIGEST_BYTES * len(s)
+                if held >= FLUSH_BYTES:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     cuts = with_texts(seats, docs, reps).select("hub", "salt", "sid", "text").mapInPandas(cut, "hub long, salt int, fragment int, sid long, size long, digests binary")
     seated = cuts.repartition(parts, "hub", "salt", "fragment").sortWithinPartitions("hub", "salt", "fragment", F.col("sid") != F.col("hub"))
