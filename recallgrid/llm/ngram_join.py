@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, shuffle_parts, written
+from .common import remove, shuffle_parts, small_batches, worker_cache, written
 
 WORDS = 5
 #: The threshold as a fraction.
@@ -50,7 +50,7 @@ BLOOM_BITS = 25
 #: Sets that a shingle's list pairs outright, and neighbours in the chain of a longer one.
 SMALL_LIST, CHAIN = 8, 2
 #: Postings of a bucket, and of a task before it sends them on.
-BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 1_000_000
+BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 250_000
 #: Spokes of a hub that one task compares at a time, and shingles in a block of a region.
 HUB_SPOKES = 64
 #: Bytes of fragments that a task holds before it sends them on.
@@ -148,6 +148,7 @@ def scan_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """A row per document (doc_id, th, sid, n), and rows that carry each task's sketch of its sets."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache().clear()  # what earlier operators left in this worker
         cells = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         seen: set[int] = set()
         for b in batches:
@@ -219,6 +220,7 @@ def postings(docs: DataFrame, order, buckets: int, words: int = WORDS) -> DataFr
     """Packed prefix postings: bucket, data. A set is sent once per task, however many copies it has there."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache().clear()
         o = Order(*order.value)
         seen: set[int] = set()
         held: list[tuple[np.ndarray, int, int]] = []
@@ -609,6 +611,11 @@ def root(parent: dict[int, int], x: int) -> int:
 
 def link(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, th (hash of the text), sid, n_shingles, label (component), component_id for every row of docs (doc_id, text)."""
+    with small_batches(docs.sparkSession):
+        return _link(docs, words)
+
+
+def _link(docs: DataFrame, words: int) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     scanned = written(scan_sets(docs, words), "ngram-sets")
