@@ -86,17 +86,19 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 # Retrieval
 
-S_BM25 = f"""
+S_DOCUMENTS_ASKED = f"""
 d AS (SELECT doc_id AS item_id, {s_tokens("coalesce(text, '')")} AS t FROM documents),
+q AS (SELECT item_id AS query_id, {s_tokens("coalesce(text, '')")} AS t FROM benchmark)"""
+S_SCORED = """
 st AS (SELECT count(*) AS n, avg(len(t)::DOUBLE) AS avgdl FROM d),
-q AS (SELECT item_id AS query_id, {s_tokens("coalesce(text, '')")} AS t FROM benchmark),
 qt AS (SELECT query_id, term, min(list_position(t, term)) AS qpos FROM (SELECT query_id, t, unnest(t) AS term FROM q) GROUP BY query_id, term),
 tf AS (SELECT item_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT item_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY item_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT query_id, qt.term, qpos, avgdl, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM qt LEFT JOIN df ON qt.term = df.term CROSS JOIN st),
 ce AS (SELECT query_id, sum(idf * 2.5) AS ceiling FROM w GROUP BY query_id),
 hit AS (SELECT query_id, item_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS raw, string_agg(w.term, ' ' ORDER BY qpos) AS matched FROM tf JOIN w ON tf.term = w.term GROUP BY query_id, item_id),
-lex AS (SELECT query_id, item_id, round(least(1.0, raw / ceiling), 4) AS score, matched FROM hit JOIN ce USING (query_id)),
+lex AS (SELECT query_id, item_id, least(1.0, raw / ceiling) AS lexical, round(least(1.0, raw / ceiling), 4) AS score, matched FROM hit JOIN ce USING (query_id))"""
+S_BM25 = f"""{S_DOCUMENTS_ASKED}, {S_SCORED},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM lex)"""
 
 
@@ -176,13 +178,31 @@ def hybrid_score(spark, sf):
     return v.select("vec_id", F.round(0.5 * ((F.col("vec_id") % 11) / F.lit(10.0)) + 0.5 * c, 4).alias("score"))
 
 
-@query()
+def s_assembled(package: str, query: str, least: float) -> str:
+    """The items of a package with their scores, in the order in which they are tried."""
+    order = f"score DESC, confidence DESC, list_position({lit(C.CATEGORIES)}, category), id"
+    return f"""WITH {S_ITEMS}, p AS (SELECT *, {s_id('category', 'content')} AS id, {s_estimate('content')} AS tokens FROM items WHERE package = '{package}'),
+d AS (SELECT id AS item_id, {s_tokens("content || ' ' || source")} AS t FROM p), q AS (SELECT 0 AS query_id, {s_tokens(f"'{query}'")} AS t), {S_SCORED},
+c AS (SELECT p.*, coalesce(lexical, 0) AS lexical, coalesce(score, 0) AS score, matched FROM p LEFT JOIN lex ON p.id = lex.item_id),
+ok AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM c WHERE score >= {least} AND (score > 0 OR {least} > 0))"""
+
+
+S_PICK = "list_reduce(l, lambda a, x: CASE WHEN len(a.picked) >= 8 OR a.used + x.used > 60 THEN a ELSE {'used': a.used + x.used, 'picked': list_concat(a.picked, x.picked)} END, {'used': 0::BIGINT, 'picked': []::BIGINT[]})"
+
+
+@query(
+    f"{s_assembled('pkg_1', 'which lot uses spring green', 0.0)}, f AS (SELECT {S_PICK} AS f FROM (SELECT list({{'used': tokens, 'picked': [place]}} ORDER BY place) AS l FROM ok)) "
+    "SELECT list_position(f.f.picked, place)::INT AS rank, id, category, content, score, 'Matched ' || array_to_string(list_transform(string_split(matched, ' ')[1:6], lambda x: '''' || x || ''''), ', ') || ' (lexical ' || printf('%.2f', lexical) || ')' AS reason, tokens FROM ok, f WHERE list_contains(f.f.picked, place)"
+)
 def retrieve_assembled(spark, sf):
     chosen, _ = retrieve.assemble(items(spark, sf).filter("package = 'pkg_1'"), "which lot uses spring green", retrieve.RetrievalOptions(top_k=8, token_budget=60))
     return chosen.select("rank", "id", "category", "content", "score", "reason", "tokens")
 
 
-@query()
+@query(
+    f"{s_assembled('pkg_2', 'lot 7', 0.2)}, s AS (SELECT coalesce(sum(tokens) FILTER (place <= 5), 0)::BIGINT AS used, count(*) AS passed FROM ok), a AS (SELECT count(*) AS n, count_if(score < 0.2) AS low, sum(tokens)::BIGINT AS tokens FROM c) "
+    "SELECT n AS considered, (CASE WHEN passed > 5 THEN 0 ELSE low END)::INT AS dropped_below_min_score, 0::BIGINT AS dropped_for_budget, used AS tokens_selected, n AS total_items, tokens AS tokens_full_memory, greatest(0, tokens - used) AS tokens_saved_vs_full_memory, greatest(0, 5000 - used) AS tokens_saved_vs_transcript FROM s, a"
+)
 def retrieve_summary(spark, sf):
     return retrieve.assemble(items(spark, sf).filter("package = 'pkg_2'"), "lot 7", retrieve.RetrievalOptions(top_k=5, min_score=0.2), transcript_tokens=5000)[1]
 
