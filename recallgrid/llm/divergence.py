@@ -100,7 +100,8 @@ def tile_sums(tile: pd.DataFrame) -> pd.DataFrame:
     out = []
     for i, row in enumerate(sides[0]):
         first = i + 1 if a == b else 0
-        s = np.abs(sides[1][first:] - row).sum(axis=1)
+        # and terms of the tile that lie in neither block
+        s = np.abs(sides[1][first:] - row).sum(axis=1) + (int(head["terms"]) - len(term)) * np.abs(np.asarray(head["zb"], dtype=np.int64)[first:] - int(head["za"][i]))
         out.append(pd.DataFrame({"lang": lang, "ga": a * TILE_GROUPS + i, "gb": b * TILE_GROUPS + np.arange(first, first + len(s)), "value": s}))
     return pd.concat(out, ignore_index=True)
 
@@ -162,17 +163,20 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, terms: int = TERMS) ->
 
     # pairs: dense tiles, then light terms one by one and in common
     zs = groups.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("g", "z"))), lambda x: x["z"]).alias("zs"))
-    tiles = kept.select("lang", "term", "groups").distinct().join(groups.select("lang", "s").distinct(), "lang").groupBy("lang", "s").agg(F.count_if(heavy).alias("dense"), F.count_if(~heavy).alias("light"))
+    terms_of_lang = kept.select("lang", "term", "groups").distinct().join(groups.select("lang", "s").distinct(), "lang").withColumn("heavy", heavy)
+    tiles = terms_of_lang.groupBy("lang", "s").agg(F.count_if("heavy").alias("dense"), F.count_if(~F.col("heavy")).alias("light"))
     block = (F.col("g") / TILE_GROUPS).cast("int")
     blocks = F.ceil(F.col("s") / F.lit(float(TILE_GROUPS))).cast("int")
     count = F.ceil(F.col("dense") / F.lit(float(TILE_TERMS))).cast("int")
     # a row goes to each pair of blocks that its own is one of, and each such tile has a head with the groups' z
-    rows = shares.filter("heavy").join(tiles, "lang").select("lang", F.pmod(F.xxhash64("term"), count).cast("int").alias("tile"), "term", "g", "p", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    tile = F.pmod(F.xxhash64("term"), count).cast("int")
+    rows = shares.filter("heavy").join(tiles, "lang").select("lang", tile.alias("tile"), "term", "g", "p", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.select("lang", "tile", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "term", "g", "p", "block")
-    heads = tiles.filter("dense > 0").join(zs, "lang").select("lang", "zs", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), count - 1)).alias("tile"))
-    heads = heads.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("b", F.explode(F.sequence(F.col("a"), F.col("blocks") - 1)))
+    sizes = terms_of_lang.filter("heavy").drop("s").join(tiles, "lang").groupBy("lang", "s", tile.alias("tile")).agg(F.count("*").alias("terms"))
+    heads = sizes.join(zs, "lang").select("lang", "zs", "tile", "terms", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("a"))
+    heads = heads.withColumn("b", F.explode(F.sequence(F.col("a"), F.col("blocks") - 1)))
     cut = lambda side: F.slice("zs", F.col(side) * TILE_GROUPS + 1, TILE_GROUPS)
-    dense = rows.unionByName(heads.select("lang", "tile", "a", "b", cut("a").alias("za"), cut("b").alias("zb")), allowMissingColumns=True)
+    dense = rows.unionByName(heads.select("lang", "tile", "a", "b", "terms", cut("a").alias("za"), cut("b").alias("zb")), allowMissingColumns=True)
     from_tiles = dense.groupBy("lang", "tile", "a", "b").applyInPandas(tile_sums, SUMS)
 
     have = shares.filter("not heavy").groupBy("lang", "g", "p").agg(F.count("*").alias("k")).groupBy("lang", "g").agg(F.collect_list(F.struct("p", "k")).alias("l"))
