@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import CATEGORIES, NAME_LENGTH, PACKAGE_NAME, PROMPT_LABELS, STOPWORDS, TOKEN, UPLOAD_SUFFIXES
+from .constants import CATEGORIES, NAME_LENGTH, PACKAGE_NAME, PROMPT_LABELS, STOPWORDS, UPLOAD_SUFFIXES
 
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def stem(t: Column) -> Column:
-    n = F.length(t)
-    cut = lambda k: F.substring(t, F.lit(1), n - k)
-    return (
-        F.when(t.rlike("^[0-9]+$"), t)
-        .when((n > 5) & t.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when((n > 6) & t.endswith("ing"), cut(3))
-        .when((n > 5) & t.endswith("ed"), cut(2))
-        .when((n > 3) & t.endswith("s") & ~t.rlike("(ss|us|is)$"), cut(1))
-        .otherwise(t)
-    )
+def _one_of(words) -> str:
+    """A pattern of these words, tried by first letter."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "|".join(f"{c}(?:{'|'.join(ends)})" for c, ends in by.items())
+
+
+def stem_all(s: Column) -> Column:
+    """Words between blanks without the endings -ies (as -y), -ing, -ed and -s."""
+    s = F.regexp_replace(s, "(?<![^ ])([^ ]{3,})ies(?![^ ])", "$1y")
+    return F.regexp_replace(s, "(?<![^ ])(?:([^ ]{4,})(?:ing|ed)|([^ ]{2,}[^ sui])s)(?![^ ])", "$1$2")
 
 
 def tokenize(c: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    raw = F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: F.btrim(t, F.lit("._-")))
-    return F.transform(F.filter(raw, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)), stem)
+    """Indexed terms of a text, in order. Each step runs over the whole text at once; only the last one makes an array."""
+    s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9+#._\-]+", " ")
+    s = F.regexp_replace(s, r"(?<![^ ])[+#._\-]+|[._\-]+(?![^ ])", "")
+    s = F.regexp_replace(s, f"(?<![^ ])(?:[^ ]|{_one_of(STOPWORDS)})(?![^ ])", "")
+    return F.regexp_extract_all(stem_all(s), F.lit("[^ ]+"), F.lit(0))
 
 
 def estimate_tokens(c: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from ..functions.constants import B, K1
 from ..functions.text import category_order, estimate_tokens, reason, tokenize
-from ..shared import written
 
 
 @dataclass(frozen=True)
@@ -78,23 +77,15 @@ def fold_budget(cands: Column, top_k: int, budget: int | None) -> Column:
     return F.aggregate(cands, zero, step)
 
 
-def select_in_budget(scored: DataFrame, top_k: int, budget: int) -> DataFrame:
-    """query_id, used, picked and dropped of fold_budget over all candidates of each query, best score first, then item_id.
+def select_in_budget(cands: DataFrame, top_k: int, budget: int) -> DataFrame:
+    """q, used, picked, full, and the last pick (score, item_id) where top_k were picked: fold_budget over each query's candidates, best score first, then item_id.
 
-    scored: query_id, item_id, score, tokens. What is left of the budget only shrinks, so of the candidates with equal
-    tokens those picked are the first ones, at most top_k: the fold reads no more than these (top_k for each number of
-    tokens within the budget). What was dropped before the last pick is counted over all candidates.
+    cands: q, item_id, score, tokens; a bounded number a query (see index.skyband_reduce), which holds all that can be picked.
     """
-    cand = written(scored.select("query_id", "item_id", "score", "tokens"), "candidates")
-    same = Window.partitionBy("query_id", "tokens").orderBy(F.desc("score"), "item_id")
-    first = cand.filter(F.col("tokens") <= budget).withColumn("r", F.row_number().over(same)).filter(F.col("r") <= top_k)
-    lists = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "item_id", "tokens"))).alias("l"))
+    lists = cands.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "item_id", "tokens"))).alias("l"))
     fold = lists.withColumn("f", fold_budget(F.transform("l", lambda c, i: F.struct(i.cast("string").alias("key"), c["tokens"].alias("tokens"))), top_k, budget))
-    last = F.when(F.size("f.picked") >= top_k, F.get("l", F.element_at("f.picked", -1).cast("int")))
-    state = fold.select(F.col("query_id").alias("q"), "f.used", F.size("f.picked").cast("long").alias("picked"), last.alias("last"))
-    before = F.col("last").isNull() | (-F.col("score") < F.col("last.s")) | ((-F.col("score") == F.col("last.s")) & (F.col("item_id") <= F.col("last.item_id")))
-    seen = cand.join(F.broadcast(state), F.col("query_id") == F.col("q"), "left").groupBy("query_id").agg(F.count_if(before).alias("seen"), *[F.coalesce(F.first(c), F.lit(0).cast("long")).alias(c) for c in ("used", "picked")])
-    return seen.select("query_id", "used", "picked", (F.col("seen") - F.col("picked")).alias("dropped"))
+    last = F.get("l", F.coalesce(F.try_element_at("f.picked", F.lit(-1)), F.lit("0")).cast("int"))
+    return fold.select("q", "f.used", F.size("f.picked").cast("long").alias("picked"), (F.size("f.picked") >= top_k).alias("full"), last["item_id"].alias("item_id"), (-last["s"]).alias("score"))
 
 
 def assemble(items: DataFrame, query: str, options: RetrievalOptions = RetrievalOptions(), embeddings: DataFrame | None = None, weight: float = 0.5, transcript_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:

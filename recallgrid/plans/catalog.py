@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import evaluate, extract, merge, package, prompt, redact, retrieve
+from ..operators import evaluate, extract, index, merge, package, prompt, redact, retrieve
+from ..shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,9 +104,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def bm25(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    found = retrieve.bm25(tab(spark, sf, "documents"), tab(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
-    scored = found.select("query_id", "item_id", F.round("lexical", 4).alias("score"), F.array_join("matched", " ").alias("matched"))
-    return retrieve.ranked(scored, [F.desc("score"), F.col("item_id")], k)
+    found = index.search(tab(spark, sf, "documents"), tab(spark, sf, "benchmark"), k, "doc_id", "text", "item_id", "text")
+    return found.select("query_id", "item_id", "score", F.array_join("matched", " ").alias("matched"), "rank")
 
 
 @query(f"WITH {S_BM25} SELECT query_id, item_id, score, matched, rank FROM ranked WHERE rank <= 5")
@@ -115,8 +115,16 @@ def retrieve_bm25_topk(spark, sf):
 
 @query(f"WITH {S_BM25} SELECT query_id, count(*) AS n, count_if(score >= 0.3) AS kept, count_if(score < 0.3) AS below FROM lex GROUP BY query_id")
 def retrieve_min_score(spark, sf):
-    found = retrieve.bm25(tab(spark, sf, "documents"), tab(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text").withColumn("s", F.round("lexical", 4))
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("s") >= 0.3).alias("kept"), F.count_if(F.col("s") < 0.3).alias("below"))
+    return index.score_counts(tab(spark, sf, "documents"), tab(spark, sf, "benchmark"), 0.3, "doc_id", "text", "item_id", "text")
+
+
+@query(f"WITH {S_BM25} SELECT query_id, item_id, score, rank FROM ranked WHERE rank <= 5")
+def retrieve_kept_index(spark, sf):
+    """Two thirds of the documents make an index that is kept, the rest is appended; all benchmark passages are searched for in it."""
+    d, path = tab(spark, sf, "documents"), new_path(spark, "kept-index")
+    index.append(spark, path, d.filter("doc_id % 3 <> 0"), "doc_id", "text")
+    index.append(spark, path, d.filter("doc_id % 3 = 0"), "doc_id", "text")
+    return index.top_k(index.opened(spark, path), tab(spark, sf, "benchmark"), 5, "item_id", "text").select("query_id", "item_id", "score", "rank")
 
 
 @query(f"WITH {S_BM25} SELECT query_id, item_id, 'Matched ' || array_to_string(list_transform(string_split(matched, ' ')[1:6], lambda x: '''' || x || ''''), ', ') || ' (lexical ' || printf('%.2f', score) || ')' AS reason FROM ranked WHERE rank <= 3")
@@ -133,9 +141,8 @@ S_FOLD = "list_reduce(l, lambda a, x: CASE WHEN a.n >= 5 THEN a WHEN a.used + x.
     f"f AS (SELECT query_id, {S_FOLD} AS f FROM l) SELECT query_id, f.used AS used, f.n AS picked, f.dropped AS dropped FROM f"
 )
 def retrieve_token_budget(spark, sf):
-    d = tab(spark, sf, "documents").withColumn("tokens", T.estimate_tokens(F.col("text")))
-    found = retrieve.bm25(d, tab(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", carry=("tokens",))
-    return retrieve.select_in_budget(found.withColumn("score", F.round("lexical", 4)), 5, 400)
+    fold = lambda cands: retrieve.select_in_budget(cands, 5, 400)
+    return index.budgeted(tab(spark, sf, "documents"), tab(spark, sf, "benchmark"), 5, 400, T.estimate_tokens(F.col("text")), fold, "doc_id", "text", "item_id", "text")
 
 
 S_SCORES = "SELECT query_id, round(coalesce(hits, 0) / greatest(1, least(3, coalesce(selected, 3))), 4) AS precision, round(coalesce(hits, 0) / relevant, 4) AS recall, round(coalesce(1 / first, 0), 4) AS rr FROM rel LEFT JOIN sel USING (query_id) LEFT JOIN h USING (query_id)"
