@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What follows the first character of a control string: of this template, then of other common ones.
 CONTROL_TAILS = r"\||/?s>|/?INST\]|<SYS>>|</SYS>>"
@@ -68,29 +69,20 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.filter(F.transform(F.col(parts), lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: x["p"]["type"].isin("image", "audio", "document")),
         lambda x: F.struct(x["p"]["type"].alias("type"), x["p"]["ref"].alias("ref"), x["i"].cast("int").alias("part"), expanded_tokens(x["p"]).alias("tokens")),
     )
-    said = messages.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(body, F.lit("")).alias("body"), F.coalesce(attachments, F.array().cast("array<struct<type:string,ref:string,part:int,tokens:bigint>>")).alias("attachments")).alias("m"),
-    )
-    whole = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    head = lambda m: F.concat(F.lit(TURN), escape(m["role"]), F.lit(TEXT))
-    laid = whole.select(
-        "conv_id",
-        F.transform("ms", lambda m: F.struct(F.concat(head(m), m["body"], F.lit(END)).alias("s"), F.length(head(m)).cast("long").alias("lead"), F.length(m["body"]).cast("long").alias("size"), (m["role"] == loss_role).alias("loss"), m["turn"].alias("turn"), m["attachments"].alias("attachments"))).alias("ts"),
-    )
-    # running start of each turn: a fold that carries the place and the spans so far
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + t["lead"]
-        grown = F.when(t["loss"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), (start + t["size"]).alias("end"))))).otherwise(acc["spans"])
-        return F.struct((start + t["size"] + len(END)).alias("at"), grown.alias("spans"))
-
-    return laid.select(
+    none = F.array().cast("array<struct<type:string,ref:string,part:int,tokens:bigint>>")
+    who = F.coalesce(F.col(role), F.lit(""))
+    said = messages.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), who.alias("role"), F.coalesce(body, F.lit("")).alias("body"), F.coalesce(attachments, none).alias("attachments")).alias("m"))
+    laid = said.select("conv_id", "m", F.concat(F.lit(TURN), escape(F.col("m.role")), F.lit(TEXT)).alias("head")).select("conv_id", "m", "head", F.length("head").cast("long").alias("lead"), F.length("m.body").cast("long").alias("size"))
+    # where each turn starts: a running sum over its conversation, on the partitioning that the grouping needs anyway
+    upto = Window.partitionBy("conv_id").orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = laid.withColumn("to", F.sum(F.col("lead") + F.col("size") + len(END)).over(upto) - len(END))
+    one = F.struct("m", F.concat("head", "m.body", F.lit(END)).alias("s"), (F.col("to") - F.col("size")).alias("start"), F.col("to").alias("end"))
+    whole = laid.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("ts"))
+    return whole.select(
         "conv_id",
         F.array_join(F.transform("ts", lambda t: t["s"]), "").alias("formatted"),
-        F.aggregate("ts", zero, step, lambda a: a["spans"]).alias("loss_spans"),
-        F.flatten(F.transform("ts", lambda t: F.transform(t["attachments"], lambda a: F.struct(t["turn"].alias("turn"), *[a[k].alias(k) for k in ("type", "ref", "part", "tokens")])))).alias("attachments"),
+        F.transform(F.filter("ts", lambda t: t["m"]["role"] == loss_role), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("loss_spans"),
+        F.flatten(F.transform("ts", lambda t: F.transform(t["m"]["attachments"], lambda a: F.struct(t["m"]["turn"].alias("turn"), *[a[k].alias(k) for k in ("type", "ref", "part", "tokens")])))).alias("attachments"),
     )
 
 
@@ -101,20 +93,36 @@ def read_turns(formatted: Column) -> Column:
 
 
 def masked_texts(formatted: Column, spans: Column) -> Column:
-    """Texts under the loss mask, unescaped, in order."""
+    """Texts under the loss mask, unescaped, in order. Each is sought from the text's start; digest() reads long conversations turn by turn."""
     return F.transform(spans, lambda x: unescape(F.substr(formatted, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What can be read back from the output, per conversation."""
-    turns = read_turns(F.col("formatted"))
-    read = formatted.select("conv_id", "formatted", turns.alias("turns"), F.array_join(masked_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    """What can be read back from the output, per conversation.
+
+    Turns are cut out of the formatted text and get their places by a running sum; a loss span is read from the turn whose text
+    starts where the span does. A span that starts in no turn's text is an error.
+    """
+    rows = formatted.withColumn("chars", F.length("formatted").cast("long"))
+    turns = rows.select("conv_id", "chars", F.posexplode(F.filter(F.split("formatted", r"<\|end\|>"), lambda s: s != "")).alias("i", "s"))
+    lead = F.instr("s", TEXT) - 1 + len(TEXT)
+    upto = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begin = F.sum(F.length("s") + len(END)).over(upto) - F.length("s") - len(END)
+    role = unescape(F.substring_index(F.substr("s", F.lit(len(TURN) + 1)), TEXT, 1))
+    turns = turns.select("conv_id", "chars", "i", role.alias("role"), F.substr("s", lead + 1).alias("body"), (begin + lead).alias("start"))
+    spans = rows.select("conv_id", F.explode("loss_spans").alias("x")).select("conv_id", "x.start", "x.end", F.lit(True).alias("masked"))
+    met = turns.alias("t").join(spans.alias("x"), F.col("t.conv_id").eqNullSafe(F.col("x.conv_id")) & (F.col("t.start") == F.col("x.start")), "left")
+    loss = F.when(F.col("masked"), unescape(F.substr("body", F.lit(1), (F.col("end") - F.col("t.start")).cast("int")))).otherwise(F.lit(""))
+    read = met.select(F.col("t.conv_id").alias("conv_id"), "chars", F.struct("i", F.concat("role", F.lit("\n"), unescape(F.col("body")), F.lit("\n")).alias("said"), loss.alias("loss"), F.coalesce("masked", F.lit(False)).alias("masked")).alias("t"))
+    read = read.groupBy("conv_id").agg(F.first("chars").alias("chars"), F.sort_array(F.collect_list("t")).alias("ts"), F.count_if("t.masked").alias("found"))
+    read = read.select("conv_id", "chars", "ts", "found", F.array_join(F.transform("ts", lambda t: t["loss"]), "").alias("loss"))
+    want = rows.select(F.col("conv_id").alias("c"), F.size("loss_spans").cast("long").alias("spans"))
+    read = read.join(want, F.col("conv_id").eqNullSafe(F.col("c"))).filter(F.assert_true(F.col("found") == F.col("spans"), "a loss span lies outside the turns' texts").isNull())
     return read.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.size("ts").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("ts", lambda t: t["said"]), "").cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("chars").alias("formatted_chars"),
     )

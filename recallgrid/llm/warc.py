@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,9 @@ HOT_SHARE = 1 / 1000
 VERSION = b"WARC/1.1\r\n"
 VERSION_LINES = (b"WARC/1.1\r\n", b"WARC/1.0\r\n")
 GZIP_START = b"\x1f\x8b\x08"
+#: Where a record or a member can begin; one search over all of them ends at the first, however far the others are.
+ANY_VERSION = re.compile(b"|".join(map(re.escape, VERSION_LINES)))
+ANY_START = re.compile(b"|".join(map(re.escape, (GZIP_START, *VERSION_LINES))))
 GZIP_LEVEL = 6
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -220,10 +224,10 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("bad headers") from None
     if size < 0:
         raise Damaged("bad headers")
-    block, end = data[stop + 4 : stop + 4 + size], stop + 4 + size
-    if len(block) != size or data[end : end + 4] != b"\r\n\r\n":
+    end = stop + 4 + size
+    if data[end : end + 4] != b"\r\n\r\n":  # before the block is copied
         raise Damaged("length and end disagree")
-    return head, block, end + 4
+    return head, data[stop + 4 : end], end + 4
 
 
 def _sha1(said: str) -> str | None:
@@ -280,7 +284,8 @@ def _records(data: bytes, vouched: bool = False) -> Iterator[tuple[str, object]]
             if not lost:
                 yield "gap", str(e)
             lost = True
-            pos = min((p for p in (data.find(v, pos + 1) for v in VERSION_LINES) if p >= 0), default=len(data))
+            found = ANY_VERSION.search(data, pos + 1)
+            pos = found.start() if found else len(data)
             continue
         lost = False
         yield "record", row
@@ -296,7 +301,8 @@ def salvage(data: bytes) -> Iterator[tuple[str, tuple]]:
     gap, why = None, ""
 
     def next_start(after: int) -> int:
-        return min((p for p in (data.find(GZIP_START, after), *(data.find(v, after) for v in VERSION_LINES)) if p >= 0), default=n)
+        found = ANY_START.search(data, after)
+        return found.start() if found else n
 
     while at < n:
         wrong = ""
