@@ -80,14 +80,24 @@ def role(c: Column) -> Column:
     return F.when(r.isin("assistant", "ai", "bot"), "assistant").when(r == "system", "system").otherwise("user")
 
 
+TURNS = "array<struct<role:string,content:string>>"
+
+
+def json_turns(c: Column) -> Column:
+    """Turns of a JSON array of objects with role (user where it is missing) and content (empty); null for any other text."""
+    each = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    text = lambda x, field: F.try_variant_get(x, f"$.{field}", "string")
+    return F.transform(each, lambda x: F.struct(F.coalesce(text(x, "role"), F.lit("user")).alias("role"), F.coalesce(text(x, "content"), F.lit("")).alias("content")))
+
+
 def transcript_turns(c: Column) -> Column:
-    """Turns of a plain-text transcript: array of struct(role, content)."""
-    mark, cut = "\x01", "\x02"
-    cuts = F.split(F.regexp_replace(c, r"(?im)^(User|Human|Assistant|AI|System)\s*:\s*", mark + "$1" + cut), mark)
-    parts = F.filter(cuts, lambda p, i: i > 0)
-    turns = F.filter(F.transform(parts, lambda p: F.struct(role(F.substring_index(p, cut, 1)).alias("role"), strip(F.substring_index(p, cut, -1)).alias("content"))), lambda t: t["content"] != "")
+    """Turns of a transcript: array of struct(role, content). A JSON array gives its messages as they are; plain text is cut where a line opens with a speaker."""
+    who = r"(?:User|Human|Assistant|AI|System)\s*:"
+    parts = F.filter(F.split(c, f"(?im)^(?={who})"), lambda p: p.rlike(f"(?i)^{who}"))
+    said = lambda p: strip(F.regexp_replace(p, f"(?i)^{who}", ""))
+    turns = F.filter(F.transform(parts, lambda p: F.struct(role(F.regexp_extract(p, "^([A-Za-z]+)", 1)).alias("role"), said(p).alias("content"))), lambda t: t["content"] != "")
     alone = F.array(F.struct(F.lit("user").alias("role"), strip(c).alias("content")))
-    return F.when(F.size(parts) > 0, turns).otherwise(alone)
+    return F.coalesce(json_turns(c), F.when(F.size(parts) > 0, turns).otherwise(alone))
 
 
 def preview(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.constants import B, K1
+from ..functions.constants import B, K1, NO_QUERY_REASON
 from ..functions.text import category_order, estimate_tokens, reason, tokenize
 
 
@@ -107,7 +107,7 @@ def assemble(items: DataFrame, query: str, options: RetrievalOptions = Retrieval
     else:
         cand = cand.withColumn("emb", F.lit(None).cast("double"))
     blend = F.coalesce((1 - weight) * F.col("lexical") + weight * F.col("emb"), F.col("lexical")) if has_query else F.col("confidence")
-    why = reason(F.col("matched"), F.col("lexical"), F.col("emb")) if has_query else F.lit("No query given — ranked by extraction confidence")
+    why = reason(F.col("matched"), F.col("lexical"), F.col("emb")) if has_query else F.lit(NO_QUERY_REASON)
     cand = cand.withColumns({"score": F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), blend)), 4), "reason": why, "tokens": estimate_tokens(F.col("content"))})
     shown = ("id", "category", "content", "score", "lexical", "emb", "matched", "reason", "tokens")
     order = F.struct((-F.col("score")).alias("s"), (-F.col("confidence")).alias("c"), category_order(F.col("category")).alias("o"), F.col("id").alias("i"), *[F.col(c) for c in shown if c != "id"])

@@ -578,6 +578,12 @@ def merge_duplicate_groups(spark, sf):
     return merge.merge(merge_pool(spark, sf))[1]
 
 
+@query()
+def merge_conflicts(spark, sf):
+    """Conflicts among all items of part as they are, each under its rank."""
+    return merge.conflicts(merge.rank_pool(items(spark, sf)))
+
+
 # Evaluation
 
 

@@ -119,7 +119,7 @@ class Service:
             raise ValueError(f"package {new_name} exists")
         pool = None
         for i, n in enumerate(names):
-            items = self.store.load(n).withColumns({"origin": F.when(F.col("origin") == "", n).otherwise(F.col("origin")), "pos": F.col("pos") + i * 10**6})
+            items = self.store.load(n).withColumns({"origin": F.when(F.col("origin") == "", n).otherwise(F.col("origin")), "pos": F.col("pos").cast("long") + F.lit(i << 40)})
             pool = items if pool is None else pool.unionByName(items)
         final, groups, found = M.merge(pool)
         if not dry_run:
