@@ -11,7 +11,7 @@ from .constants import CATEGORIES, NAME_LENGTH, PACKAGE_NAME, PROMPT_LABELS, STO
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def _one_of(words) -> str:
@@ -30,7 +30,7 @@ def stem_all(s: Column) -> Column:
 
 def tokenize(c: Column) -> Column:
     """Indexed terms of a text, in order. Each step runs over the whole text at once; only the last one makes an array."""
-    s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9+#._\-]+", " ")
+    s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9+#._\- ]+", " ")
     s = F.regexp_replace(s, r"(?<![^ ])[+#._\-]+|[._\-]+(?![^ ])", "")
     s = F.regexp_replace(s, f"(?<![^ ])(?:[^ ]|{_one_of(STOPWORDS)})(?![^ ])", "")
     return F.regexp_extract_all(stem_all(s), F.lit("[^ ]+"), F.lit(0))

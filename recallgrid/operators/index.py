@@ -175,11 +175,11 @@ def rounded(x: np.ndarray) -> np.ndarray:
     return out / 1e4
 
 
-def scores(rows: pd.DataFrame, qs: np.ndarray, batch: Batch) -> tuple[list, np.ndarray, np.ndarray]:
+def scores(rows: pd.DataFrame, qs: np.ndarray, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids and weights of a block's items, and the raw scores of queries x items."""
     is_head = rows["term"].isna()
     head = rows[is_head].iloc[0]
-    ids, lengths, weights = list(head["ids"]), np.frombuffer(head["lengths"], dtype="<u4"), np.frombuffer(head["weights"], dtype="<i8")
+    ids, lengths, weights = np.array(list(head["ids"])), np.frombuffer(head["lengths"], dtype="<u4"), np.frombuffer(head["weights"], dtype="<i8")
     ratio = lengths / batch.average if batch.average > 0 else np.ones(len(ids))
     place = {int(q): i for i, q in enumerate(qs)}
     s = np.zeros((len(qs), len(ids)))
@@ -192,7 +192,7 @@ def scores(rows: pd.DataFrame, qs: np.ndarray, batch: Batch) -> tuple[list, np.n
     return ids, weights, s
 
 
-Reduce = Callable[[int, list, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
+Reduce = Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
 
 
 def score_blocks(blocks: DataFrame, pairs: DataFrame, batch: Batch, reduce: Reduce, schema: str) -> DataFrame:
@@ -215,22 +215,22 @@ def score_blocks(blocks: DataFrame, pairs: DataFrame, batch: Batch, reduce: Redu
                 at = np.flatnonzero(s[i] > 0)
                 if len(at):
                     raw = np.minimum(1.0, s[i, at] / ceilings[q])
-                    out.append(reduce(int(q), [ids[j] for j in at], weights[at], raw, rounded(raw)))
+                    out.append(reduce(int(q), ids[at], weights[at], raw, rounded(raw)))
         names = [f.split()[0] for f in schema.split(", ")]
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({n: [] for n in names})
 
     return rows.groupBy("block").cogroup(pairs.select("block", "q").groupBy("block")).applyInPandas(score, schema)
 
 
-def best_first(ids: list, score: np.ndarray) -> list[int]:
-    return sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))
+def best_first(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+    return np.lexsort((ids, -score))
 
 
 def top_reduce(k: int) -> Reduce:
-    def reduce(q: int, ids: list, weights: np.ndarray, raw: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    def reduce(q: int, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, score: np.ndarray) -> pd.DataFrame:
         near = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
-        top = [near[i] for i in best_first([ids[j] for j in near], score[near])[:k]]
-        return pd.DataFrame({"q": q, "item_id": [ids[i] for i in top], "lexical": raw[top], "score": score[top]})
+        top = near[best_first(ids[near], score[near])[:k]]
+        return pd.DataFrame({"q": q, "item_id": ids[top].tolist(), "lexical": raw[top], "score": score[top]})
 
     return reduce
 
@@ -238,19 +238,23 @@ def top_reduce(k: int) -> Reduce:
 def skyband_reduce(k: int, budget: int) -> Reduce:
     """Items within the budget that fewer than k better ones of no greater weight precede: no other can be picked greedily."""
 
-    def reduce(q: int, ids: list, weights: np.ndarray, raw: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    def reduce(q: int, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        can = np.flatnonzero(weights <= budget)
+        least = weights[can].min() if len(can) else 0
         kept, light = [], []
-        for i in best_first(ids, score):
-            if weights[i] <= budget and (len(light) < k or weights[i] < light[-1]):
+        for i in can[best_first(ids[can], score[can])].tolist():
+            if len(light) < k or weights[i] < light[-1]:
                 kept.append(i)
                 light = sorted([*light, weights[i]])[:k]
-        return pd.DataFrame({"q": q, "item_id": [ids[i] for i in kept], "score": score[kept], "tokens": weights[kept]})
+                if len(light) == k and light[-1] <= least:
+                    break
+        return pd.DataFrame({"q": q, "item_id": ids[kept].tolist(), "score": score[kept], "tokens": weights[kept]})
 
     return reduce
 
 
 def count_reduce(least: float) -> Reduce:
-    def reduce(q: int, ids: list, weights: np.ndarray, raw: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    def reduce(q: int, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, score: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"q": [q], "n": [len(ids)], "kept": [int((score >= least).sum())]})
 
     return reduce
@@ -259,11 +263,11 @@ def count_reduce(least: float) -> Reduce:
 def before_reduce(last: dict[int, tuple[float, object]]) -> Reduce:
     """How many items stand before and at each query's last one; all where it has none."""
 
-    def reduce(q: int, ids: list, weights: np.ndarray, raw: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    def reduce(q: int, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, score: np.ndarray) -> pd.DataFrame:
         if q not in last:
             return pd.DataFrame({"q": [q], "seen": [len(ids)]})
         s, item = last[q]
-        return pd.DataFrame({"q": [q], "seen": [sum(1 for i in range(len(ids)) if score[i] > s or (score[i] == s and ids[i] <= item))]})
+        return pd.DataFrame({"q": [q], "seen": [int(((score > s) | ((score == s) & (ids <= item))).sum())]})
 
     return reduce
 
