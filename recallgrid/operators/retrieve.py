@@ -91,7 +91,8 @@ def select_in_budget(cands: DataFrame, top_k: int, budget: int) -> DataFrame:
 def assemble(items: DataFrame, query: str, options: RetrievalOptions = RetrievalOptions(), embeddings: DataFrame | None = None, weight: float = 0.5, transcript_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Selected items with rank, score and reason, and a one-row summary, for one query over a memory.
 
-    items: id, category, content, confidence, source. embeddings: id, cosine (last write per id).
+    items: id, category, content, confidence, source. embeddings: id, cosine (see VectorTable.similarities); of an id
+    that recurs the highest counts, so an item is there once.
     A package is bounded (MAX_TEXT_CHARS per import), so the fold over its candidates is one row.
     """
     spark = items.sparkSession
@@ -103,7 +104,7 @@ def assemble(items: DataFrame, query: str, options: RetrievalOptions = Retrieval
     if options.categories:
         cand = cand.filter(F.col("category").isin(*options.categories))
     if embeddings is not None:
-        cand = cand.join(embeddings.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "cosine")).alias("emb")), "id", "left")
+        cand = cand.join(embeddings.groupBy("id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.max("cosine"))).alias("emb")), "id", "left")
     else:
         cand = cand.withColumn("emb", F.lit(None).cast("double"))
     blend = F.coalesce((1 - weight) * F.col("lexical") + weight * F.col("emb"), F.col("lexical")) if has_query else F.col("confidence")

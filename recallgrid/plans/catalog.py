@@ -12,6 +12,7 @@ from ..functions import constants as C
 from ..functions import text as T
 from ..operators import evaluate, extract, index, merge, package, prompt, redact, retrieve
 from ..shared import new_path
+from ..sources.vectors import VectorTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,6 +186,18 @@ def hybrid_score(spark, sf):
     return v.select("vec_id", F.round(0.5 * ((F.col("vec_id") % 11) / F.lit(10.0)) + 0.5 * c, 4).alias("score"))
 
 
+@query("SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS cosine FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 3) p ORDER BY cosine DESC, vec_id LIMIT 10")
+def vector_table_nearest(spark, sf):
+    """Every vector is written reversed, then as it is; the last writes are searched after a fold."""
+    v = tab(spark, sf, "embeddings")
+    probe = v.filter("vec_id = 3").first()["embedding"]
+    kept = VectorTable(spark, new_path(spark, "vectors"), len(probe), "long")
+    kept.save(v.withColumn("embedding", F.reverse("embedding")), "vec_id", "embedding")
+    kept.save(v, "vec_id", "embedding")
+    kept.compact()
+    return kept.nearest(list(probe), 10).select(F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
 def s_assembled(package: str, query: str, least: float) -> str:
     """The items of a package with their scores, in the order in which they are tried."""
     order = f"score DESC, confidence DESC, list_position({lit(C.CATEGORIES)}, category), id"
