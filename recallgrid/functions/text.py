@@ -28,12 +28,15 @@ def stem_all(s: Column) -> Column:
     return F.regexp_replace(s, "(?<![^ ])(?:([^ ]{4,})(?:ing|ed)|([^ ]{2,}[^ sui])s)(?![^ ])", "$1$2")
 
 
-def tokenize(c: Column) -> Column:
-    """Indexed terms of a text, in order. Each step runs over the whole text at once; only the last one makes an array."""
+def term_text(c: Column) -> Column:
+    """Indexed terms of a text, in order, between blanks. Each step runs over the whole text at once."""
     s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9+#._\- ]+", " ")
     s = F.regexp_replace(s, r"(?<![^ ])[+#._\-]+|[._\-]+(?![^ ])", "")
-    s = F.regexp_replace(s, f"(?<![^ ])(?:[^ ]|{_one_of(STOPWORDS)})(?![^ ])", "")
-    return F.regexp_extract_all(stem_all(s), F.lit("[^ ]+"), F.lit(0))
+    return stem_all(F.regexp_replace(s, f"(?<![^ ])(?:[^ ]|{_one_of(STOPWORDS)})(?![^ ])", ""))
+
+
+def tokenize(c: Column) -> Column:
+    return F.regexp_extract_all(term_text(c), F.lit("[^ ]+"), F.lit(0))
 
 
 def estimate_tokens(c: Column) -> Column:

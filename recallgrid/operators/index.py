@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.constants import B, K1
-from ..functions.text import tokenize
+from ..functions.text import term_text, tokenize
 from ..shared import remove, written
 
 BLOCK_ITEMS, FIRST_BLOCKS, BUCKETS = 512, 4, 64
@@ -87,10 +87,10 @@ def build(items: DataFrame, item_id: str = "id", text: str = "content", weight:
             return f.assign(bucket=0)
 
         for b in batches:
-            for i, w, t in zip(b["id"].tolist(), b["weight"].tolist(), b["tokens"]):
+            for i, w, t in zip(b["id"].tolist(), b["weight"].tolist(), b["terms"]):
                 ids.append(i)
                 weights.append(w)
-                tokens.append(t)
+                tokens.append(t.split())
                 if len(ids) == BLOCK_ITEMS:
                     yield shaped(block(ids, weights, tokens, f"{salt}-{task}-{made}"))
                     ids, weights, tokens, made = [], [], [], made + 1
@@ -98,7 +98,7 @@ def build(items: DataFrame, item_id: str = "id", text: str = "content", weight:
             yield shaped(block(ids, weights, tokens, f"{salt}-{task}-{made}"))
 
     shape = BLOCKS.format(ids=f"ids array<{kind}>")
-    rows = items.select(F.col(item_id).alias("id"), (F.lit(0) if weight is None else weight).cast("long").alias("weight"), tokenize(F.col(text)).alias("tokens"))
+    rows = items.select(F.col(item_id).alias("id"), (F.lit(0) if weight is None else weight).cast("long").alias("weight"), term_text(F.col(text)).alias("terms"))
     return rows.mapInPandas(make, shape).withColumn("bucket", bucket(F.col("term")))
 
 
