@@ -143,16 +143,18 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, terms: int = TERMS) ->
     kept = met.filter("term is not null")
 
     # one row a group, and one a language: the sizes of what is compared
-    langs = kept.groupBy("lang", "term").agg(F.first("lang_cnt").alias("c"), F.first("groups").alias("groups")).groupBy("lang")
-    langs = langs.agg(F.count("*").alias("v"), F.sum("c").alias("lang_n"))
+    spread = kept.groupBy("lang", "term").agg(F.first("lang_cnt").alias("c"), F.first("groups").alias("groups")).groupBy("lang", "groups").agg(F.count("*").alias("k"), F.sum("c").alias("c"))
+    langs = spread.groupBy("lang").agg(F.sum("k").alias("v"), F.sum("c").alias("lang_n"), F.collect_list(F.struct("groups", "k")).alias("spread"))  # an entry a number of groups
     said = kept.groupBy("lang", "source").agg(F.sum("cnt").alias("n"))
     groups = met.filter("term is null").select("lang", "source").distinct().join(said, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["n", "v", "lang_n"])
     z = F.when(F.col("v") > 0, share("0", "n", "v")).otherwise(F.lit(0))
     g = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("int")
-    groups = written(groups.select("lang", "source", "n", "v", "lang_n", z.cast("long").alias("z"), g.alias("g"), F.count("*").over(Window.partitionBy("lang")).alias("s")), "divergence-groups")
+    groups = groups.select("lang", "source", "n", "v", "lang_n", "spread", z.cast("long").alias("z"), g.alias("g"), F.count("*").over(Window.partitionBy("lang")).alias("s"))
+    is_heavy = lambda n: (n > LIGHT_GROUPS) | (n * LIGHT_SHARE > F.col("s"))
+    dense = F.aggregate(F.filter("spread", lambda x: is_heavy(x["groups"])), F.lit(0).cast("long"), lambda a, x: a + x["k"])
+    groups = written(groups.withColumn("dense", F.coalesce(dense, F.lit(0))).drop("spread"), "divergence-groups")
 
-    heavy = (F.col("groups") > LIGHT_GROUPS) | (F.col("groups") * LIGHT_SHARE > F.col("s"))
-    shares = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", "cnt", "lang_cnt", "groups", "g", "z", "v", "lang_n", share("cnt", "n", "v").cast("long").alias("p"), heavy.alias("heavy"))
+    shares = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", "cnt", "lang_cnt", "groups", "g", "z", "s", "dense", "v", "lang_n", share("cnt", "n", "v").cast("long").alias("p"), is_heavy(F.col("groups")).alias("heavy"))
     shares = written(shares, "divergence-shares")
 
     # terms that set a group apart
@@ -163,16 +165,14 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, terms: int = TERMS) ->
 
     # pairs: dense tiles, then light terms one by one and in common
     zs = groups.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("g", "z"))), lambda x: x["z"]).alias("zs"))
-    terms_of_lang = kept.select("lang", "term", "groups").distinct().join(groups.select("lang", "s").distinct(), "lang").withColumn("heavy", heavy)
-    tiles = terms_of_lang.groupBy("lang", "s").agg(F.count_if("heavy").alias("dense"), F.count_if(~F.col("heavy")).alias("light"))
     block = (F.col("g") / TILE_GROUPS).cast("int")
     blocks = F.ceil(F.col("s") / F.lit(float(TILE_GROUPS))).cast("int")
     count = F.ceil(F.col("dense") / F.lit(float(TILE_TERMS))).cast("int")
     # a row goes to each pair of blocks that its own is one of, and each such tile has a head with the groups' z
     tile = F.pmod(F.xxhash64("term"), count).cast("int")
-    rows = shares.filter("heavy").join(tiles, "lang").select("lang", tile.alias("tile"), "term", "g", "p", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = shares.filter("heavy").select("lang", tile.alias("tile"), "term", "g", "p", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.select("lang", "tile", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "term", "g", "p", "block")
-    sizes = terms_of_lang.filter("heavy").drop("s").join(tiles, "lang").groupBy("lang", "s", tile.alias("tile")).agg(F.count("*").alias("terms"))
+    sizes = shares.filter("heavy").select("lang", "s", "term", tile.alias("tile")).distinct().groupBy("lang", "s", "tile").agg(F.count("*").alias("terms"))
     heads = sizes.join(zs, "lang").select("lang", "zs", "tile", "terms", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("a"))
     heads = heads.withColumn("b", F.explode(F.sequence(F.col("a"), F.col("blocks") - 1)))
     cut = lambda side: F.slice("zs", F.col(side) * TILE_GROUPS + 1, TILE_GROUPS)
@@ -180,9 +180,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, terms: int = TERMS) ->
     from_tiles = dense.groupBy("lang", "tile", "a", "b").applyInPandas(tile_sums, SUMS)
 
     have = shares.filter("not heavy").groupBy("lang", "g", "p").agg(F.count("*").alias("k")).groupBy("lang", "g").agg(F.collect_list(F.struct("p", "k")).alias("l"))
-    each = groups.join(zs, "lang").join(tiles.select("lang", "light"), "lang", "left").join(have, ["lang", "g"], "left")
+    each = groups.withColumn("light", F.col("v") - F.col("dense")).join(zs, "lang").join(have, ["lang", "g"], "left")
     none = F.array().cast("array<bigint>")
-    each = each.select("lang", "g", F.coalesce("light", F.lit(0)).alias("light"), "zs", F.coalesce(F.col("l.p"), none).alias("ps"), F.coalesce(F.col("l.k"), none).alias("ns"))
+    each = each.select("lang", "g", "light", "zs", F.coalesce(F.col("l.p"), none).alias("ps"), F.coalesce(F.col("l.k"), none).alias("ns"))
     singles = each.mapInPandas(single_sums, SUMS)
 
     lists = shares.filter("not heavy and groups > 1").groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("g", "p", "z"))).alias("l"))  # LIGHT_GROUPS at most
