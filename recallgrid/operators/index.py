@@ -345,7 +345,7 @@ def score_counts(items: DataFrame, queries: DataFrame, least: float, item_id: st
 
 
 def budgeted(items: DataFrame, queries: DataFrame, k: int, budget: int, tokens: Column, fold: Callable[[DataFrame], DataFrame], item_id: str = "id", text: str = "content", query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """query_id, used, picked, dropped: greedy picks under a token budget (see retrieve.select_in_budget), best score first.
+    """query_id, used, picked, dropped: greedy picks under a token budget (see retrieve.budget_state), best score first.
 
     Only items that can be picked are ranked: of a block those that fewer than k better ones of no greater weight precede. What
     was passed over is counted block by block, and not at all in blocks that can't come before the last pick."""

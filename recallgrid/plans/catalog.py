@@ -142,7 +142,7 @@ S_FOLD = "list_reduce(l, lambda a, x: CASE WHEN a.n >= 5 THEN a WHEN a.used + x.
     f"f AS (SELECT query_id, {S_FOLD} AS f FROM l) SELECT query_id, f.used AS used, f.n AS picked, f.dropped AS dropped FROM f"
 )
 def retrieve_token_budget(spark, sf):
-    fold = lambda cands: retrieve.select_in_budget(cands, 5, 400)
+    fold = lambda cands: retrieve.budget_state(cands, 5, 400)
     return index.budgeted(tab(spark, sf, "documents"), tab(spark, sf, "benchmark"), 5, 400, T.estimate_tokens(F.col("text")), fold, "doc_id", "text", "item_id", "text")
 
 

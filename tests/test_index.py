@@ -104,7 +104,7 @@ def test_counts_and_budget(spark, small_blocks):
                     used, n = used + size, n + 1
             if found:
                 picked[q] = (used, n, dropped)
-        out = index.budgeted(items, queries, k, budget, length, lambda c: retrieve.select_in_budget(c, k, budget)).collect()  # noqa: B023
+        out = index.budgeted(items, queries, k, budget, length, lambda c: retrieve.budget_state(c, k, budget)).collect()  # noqa: B023
         assert {r["query_id"]: (r["used"], r["picked"], r["dropped"]) for r in out} == picked
 
 
