@@ -1,4 +1,4 @@
-"""A package store of Parquet tables: packages, package_versions and vectors.
+"""A package store of Parquet tables: packages and package_versions. Vectors have a table of their own (vectors.py).
 
 Rows of a version live in their own folder, name=NAME/version=N, written by Spark's commit protocol, so
 saving a version again replaces that folder and nothing else; readers prune by both keys.
