@@ -1,0 +1,35 @@
+"""Column functions over arrays."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefix_sums(lengths: Column, run: int = 128) -> Column:
+    """For each element the sum of all before it.
+
+    A fold copies its array at every step, so folds go over runs of elements and over the runs' totals; an
+    array of n elements costs n * run + (n / run) ** 2 copies. Null elements count for 0.
+    """
+
+    def fold(a: Column) -> Column:  # one more element than a: the total
+        return F.aggregate(a, F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + F.coalesce(x, F.lit(0)))))
+
+    def joined(runs: Column) -> Column:
+        totals = fold(F.transform(runs, lambda r: F.element_at(r, -1)))
+        shifted = F.zip_with(runs, F.slice(totals, 1, F.size(runs)), lambda r, base: F.transform(F.slice(r, 1, F.size(r) - 1), lambda v: v + base))
+        return F.flatten(shifted)
+
+    def chunked(a: Column) -> Column:
+        number = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / run).cast("int"))
+        return let(F.transform(number, lambda k: fold(F.slice(a, k * run + 1, F.lit(run)))), joined)
+
+    return let(lengths, lambda a: F.when(F.size(a) > 0, chunked(a)).otherwise(F.array().cast("array<int>")))
