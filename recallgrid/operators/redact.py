@@ -1,8 +1,8 @@
-"""Detection and masking of secrets and personal data, in column functions throughout.
+"""Detection and masking of secrets and personal data.
 
-A detector's matches come as texts (all matches) and gaps (the text split at them); sums of both lengths
-give their places. Detectors compete by priority: a span that shares a character with one accepted before is
-passed over, though its match has used its text up. Places count code points.
+Presence and counts of single kinds are native; exact spans, where detectors compete by priority, come
+from one Arrow function that only rows with some native hit reach. (Spans from column functions alone, by lengths of matches
+and gaps, gave the same rows at about ten times the time.)
 """
 
 from __future__ import annotations
@@ -11,17 +11,15 @@ import re
 from collections.abc import Iterable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, prefix_sums
 from ..functions.constants import DETECTORS, IGNORED_ADDRESSES
-from ..functions.text import item_id, luhn_ok, preview
+from ..functions.text import item_id
 
 FINDINGS = "array<struct<kind:string,start:int,end:int,preview:string>>"
-SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
-#: Characters of a match behind its captured group, where there are any.
-BEHIND_GROUP = {"credential_url": 1}
+
 #: Unicode classes of the patterns, stated for java.util.regex.
 CLASSES = {r"\d": r"\p{Nd}", r"\w": r"\p{L}\p{N}_", r"\s": r"\p{IsWhite_Space}\x1c-\x1f"}
 BOUNDARY = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
@@ -46,42 +44,38 @@ def native_pattern(pattern: str) -> str:
     return re.sub(r"\\.|\[\^?|\]", one, pattern).replace("(?i)", "(?iu)")
 
 
-@cache
-def _other_digits() -> tuple[str, str]:
-    """Decimal digits outside ASCII, and their values."""
-    found = [chr(c) for c in range(128, 0x110000) if chr(c).isdecimal()]
-    return "".join(found), "".join(str(int(c)) for c in found)
-
-
-def _valid(kind: str, value: Column) -> Column:
-    if kind not in ("credit_card", "phone", "ip_address"):
-        return F.lit(True)
-    raw, value = value, F.translate(value, *_other_digits())
-    digits = F.regexp_replace(value, "[^0-9]", "")
+def _valid(kind: str, value: str) -> bool:
+    digits = [int(c) for c in value if c.isdecimal()]
     if kind == "credit_card":
-        return F.length(digits).between(13, 19) & luhn_ok(digits)
+        odd = sum(digits[-1::-2])
+        even = sum(2 * d - 9 * (d > 4) for d in digits[-2::-2])
+        return 13 <= len(digits) <= 19 and (odd + even) % 10 == 0
     if kind == "phone":
-        return F.length(digits).between(10, 15)
-    return F.forall(F.split(value, r"\."), lambda p: p.cast("int") < 256) & ~raw.isin(*IGNORED_ADDRESSES)
+        return 10 <= len(digits) <= 15
+    if kind == "ip_address":
+        return all(int(p) < 256 for p in value.split(".")) and value not in IGNORED_ADDRESSES
+    return True
 
 
-def _spans(c: Column, kind: str, group: int, pattern: str) -> Column:
-    """All valid matches of one detector, by place."""
-    p = native_pattern(pattern)
-    whole = F.regexp_extract_all(c, F.lit(p), F.lit(0))
-    value = F.regexp_extract_all(c, F.lit(p), F.lit(group)) if group else whole
-    steps = F.zip_with(F.split(c, p, -1), whole, lambda gap, match: F.length(gap) + F.length(match))
-    ends = F.slice(prefix_sums(steps), 2, 1 << 30)  # the gap behind the last match ends none
-    behind = BEHIND_GROUP.get(kind, 0)
-    spans = F.zip_with(ends, value, lambda e, v: F.struct((e - behind - F.length(v)).alias("start"), (e - behind).alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
-    return F.when(c.rlike(p), F.filter(spans, lambda s: _valid(kind, s["value"])).cast(SPANS)).otherwise(F.array().cast(SPANS))
+def mask_preview(value: str) -> str:
+    v = value.strip()
+    if "@" in v and " " not in v:
+        name, _, domain = v.partition("@")
+        return f"{name[:1]}***@{domain}"
+    return "*" * len(v) if len(v) <= 6 else f"{v[:3]}…{v[-2:]}"
 
 
-def _accept(taken: Column, spans: Column) -> Column:
-    """The spans taken so far and those of the next detector that share no character with them."""
-    cover = lambda a: F.flatten(F.transform(a, lambda s: F.sequence(s["start"], s["end"] - 1)))
-    free = let(F.array_intersect(cover(taken), cover(spans)), lambda shared: F.filter(spans, lambda s: ~F.exists(shared, lambda p: (p >= s["start"]) & (p < s["end"]))))
-    return F.when((F.size(taken) == 0) | (F.size(spans) == 0), F.concat(taken, spans)).otherwise(F.concat(taken, free))
+def find_spans(text: str | None, kinds: Iterable[str] | None = None) -> list[tuple[str, int, int, str]]:
+    """kind, start, end, preview: accepted by priority, a span that overlaps an accepted one is passed over."""
+    taken: list[tuple[str, int, int, str]] = []
+    for kind, _, _, group, pattern in sorted(DETECTORS, key=lambda d: d[2]):
+        if kinds is not None and kind not in kinds:
+            continue
+        for m in re.finditer(pattern, text or ""):
+            a, b = m.span(group)
+            if a < b and _valid(kind, text[a:b]) and all(b <= s or e <= a for _, s, e, _ in taken):
+                taken.append((kind, a, b, mask_preview(text[a:b])))
+    return sorted(taken, key=lambda f: f[1])
 
 
 def maybe_sensitive(c: Column, kinds: Iterable[str] | None = None) -> Column:
@@ -94,15 +88,19 @@ def maybe_sensitive(c: Column, kinds: Iterable[str] | None = None) -> Column:
 
 
 def scan(c: Column, kinds: Iterable[str] | None = None) -> Column:
-    """Findings by place: kind, start, end, preview. Null and empty texts, and no kinds, give an empty array."""
-    wanted = None if kinds is None else set(kinds)
-    detectors = [d for d in sorted(DETECTORS, key=lambda d: d[2]) if wanted is None or d[0] in wanted]
-    if not detectors:
-        return F.array().cast(FINDINGS)
-    text = F.coalesce(c, F.lit(""))
-    every = F.array(*[_spans(text, kind, group, pattern) for kind, _, _, group, pattern in detectors])
-    taken = F.array_sort(F.aggregate(every, F.array().cast(SPANS), _accept))
-    return F.transform(taken, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), preview(s["value"]).alias("preview"))).cast(FINDINGS)
+    wanted = None if kinds is None else list(kinds)
+
+    @F.pandas_udf(FINDINGS)
+    def spans(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("kind", "start", "end", "preview"), f)) for f in find_spans(t, wanted)] for t in texts], dtype=object)
+
+    return spans(c)
+
+
+def findings(texts: DataFrame, text: str, kinds: Iterable[str] | None = None) -> DataFrame:
+    """A row per finding, as column f beside the others; texts without one give none."""
+    hit = texts.filter(maybe_sensitive(F.col(text), kinds))
+    return hit.select(*texts.columns, F.explode(scan(F.col(text), kinds)).alias("f"))
 
 
 def mask(c: Column, findings: Column) -> Column:
@@ -131,7 +129,7 @@ def redact_items(items: DataFrame, kinds: Iterable[str] | None = None, enabled:
 def report(texts: DataFrame, text: str, kinds: Iterable[str] | None = None) -> DataFrame:
     """Findings per kind with labels, over all texts."""
     labels = texts.sparkSession.createDataFrame([d[:2] for d in DETECTORS], "kind string, label string")
-    found = texts.filter(maybe_sensitive(F.col(text), kinds)).select(F.explode(scan(F.col(text), kinds)).alias("f"))
+    found = findings(texts.select(text), text, kinds)
     return found.groupBy("f.kind").agg(F.count("*").alias("count")).join(F.broadcast(labels), "kind")
 
 

@@ -401,8 +401,7 @@ def luhn_check(spark, sf):
 
 @query()
 def redaction_scan(spark, sf):
-    d = tab(spark, sf, "documents").filter(redact.maybe_sensitive(F.col("text")))
-    return d.select("doc_id", F.explode(redact.scan(F.col("text"))).alias("f")).select("doc_id", "f.*")
+    return redact.findings(tab(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "f.*")
 
 
 @query()
