@@ -15,6 +15,7 @@ from .operators import package as P
 from .operators import prompt, redact
 from .operators.extract import extract, parse_replies
 from .operators.retrieve import RetrievalOptions, assemble
+from .shared import remove, written
 from .sources.store import ITEMS, NotFound, ParquetStore, check_name
 
 
@@ -85,13 +86,12 @@ class Service:
             part = P.diff(self.store.load(name, a), self.store.load(name, b), []).withColumn("version", F.lit(b))
             log = part if log is None else log.unionByName(part)
         items = P.undo(self.store.load(name), log, max(versions), version)
-        rows = items.collect()  # a package is bounded by the limits of imports
-        for v in versions:
+        staged = written(items, "rollback")
+        self.store.save(name, version, staged, note=f"rolled back to v{version}")
+        for v in versions:  # the newest goes last: until then it stays current, whatever fails
             if v > version:
-                for kind in ("items", "versions"):
-                    fs, p = self.store._fs(self.store._path(kind, name, v))
-                    fs.delete(p, True)
-        self.store.save(name, version, self.spark.createDataFrame(rows, items.schema), note=f"rolled back to v{version}")
+                self.store.delete_version(name, v)
+        remove(self.spark, staged)
         return self.store.load(name)
 
     def retrieve(self, name: str, query: str, options: RetrievalOptions = RetrievalOptions(), embeddings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -88,6 +88,12 @@ class ParquetStore:
             fs, p = self._fs(self._path(kind, name))
             fs.delete(p, True)
 
+    def delete_version(self, name: str, version: int) -> None:
+        """The entry goes first, so that no listed version lacks its items."""
+        for kind in ("versions", "items"):
+            fs, p = self._fs(self._path(kind, name, version))
+            fs.delete(p, True)
+
     def summaries(self) -> DataFrame:
         """A row per package, of its latest version; items are not read."""
         if not self.list_packages():
