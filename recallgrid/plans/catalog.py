@@ -12,6 +12,7 @@ from ..functions import constants as C
 from ..functions import text as T
 from ..operators import evaluate, extract, index, merge, package, prompt, redact, retrieve
 from ..shared import new_path
+from ..sources.exports import export_messages, export_texts
 from ..sources.vectors import VectorTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,6 +287,43 @@ def parse_transcript(spark, sf):
     return turns.groupBy("conv_id", "x.role").agg(F.count("*").alias("turns"), F.sum(F.length("x.content")).alias("chars"))
 
 
+# Every conversation as a chat export: turn i hangs under turn (i - 1) / 2, whose list names its turns in falling order; each third turn has parts, and of each seven one is a tool's.
+S_EXPORT = f"""m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+walk AS (SELECT conv_id, i, [0::BIGINT] AS path FROM m WHERE i = 0 UNION ALL SELECT m.conv_id, m.i, list_append(path, -m.i) FROM walk JOIN m ON m.conv_id = walk.conv_id AND m.i > 0 AND (m.i - 1) // 2 = walk.i),
+told AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY len(path), path) - 1 AS place FROM (SELECT conv_id, path, CASE WHEN m.i % 7 = 3 THEN 'tool' ELSE role END AS role, CASE WHEN m.i % 3 = 0 THEN text || chr(10) || 'seen' ELSE text END AS text FROM walk JOIN m USING (conv_id, i)) WHERE role IN ('user', 'assistant', 'system') AND {s_strip("text")} <> '')"""
+
+
+def exports(spark: SparkSession, sf: str) -> DataFrame:
+    c = tab(spark, sf, "conversations").select("conv_id", "turn", *[F.coalesce(x, F.lit("")).alias(x) for x in ("role", "text")])
+    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("l"))
+
+    def node(x, i):
+        under = F.filter(F.array(2 * i + 2, 2 * i + 1), lambda j: j < F.size("l"))
+        parts = F.to_json(F.array(x["text"], F.lit("seen")))
+        plain = F.to_json(F.array(x["text"]))
+        content = F.when(i % 3 == 0, F.concat(F.lit('{"parts":[{"asset":1},'), F.substr(parts, F.lit(2)), F.lit("}"))).otherwise(F.substr(plain, F.lit(2), F.length(plain) - 2))
+        parent = F.when(i == 0, "null").otherwise(F.concat(F.lit('"n'), F.floor((i - 1) / 2).cast("string"), F.lit('"')))
+        children = F.to_json(F.transform(under, lambda j: F.concat(F.lit("n"), j.cast("string"))))
+        role = F.when(i % 7 == 3, F.lit('["tool"]')).otherwise(F.to_json(F.array(x["role"])))
+        return F.concat(F.lit('"n'), i.cast("string"), F.lit('":{"parent":'), parent, F.lit(',"children":'), children, F.lit(',"message":{"author":{"role":'), F.substr(role, F.lit(2), F.length(role) - 2), F.lit('},"content":'), content, F.lit("}}"))
+
+    raw = F.concat(F.lit('[{"title":"Talk '), F.col("conv_id").cast("string"), F.lit('","mapping":{'), F.array_join(F.transform("l", node), ","), F.lit("}}]"))
+    return turns.select("conv_id", raw.alias("raw"))
+
+
+@query(f"WITH RECURSIVE {S_EXPORT} SELECT conv_id AS key, place, role, md5(text) AS digest FROM told")
+def export_tree(spark, sf):
+    return export_messages(exports(spark, sf), "conv_id", "raw").select("key", F.col("place").cast("long").alias("place"), "role", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query(
+    f"WITH RECURSIVE {S_EXPORT}, b AS (SELECT conv_id, string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || text, chr(10) || chr(10) ORDER BY place) AS t FROM told GROUP BY conv_id), "
+    "t AS (SELECT conv_id, chr(10) || '=== Conversation: Talk ' || conv_id || ' ===' || chr(10) || coalesce(chr(10) || chr(10) || t, '') AS t FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN b USING (conv_id)) SELECT conv_id AS key, md5(t) AS digest, len(t)::BIGINT AS chars FROM t"
+)
+def export_transcripts(spark, sf):
+    return export_texts(exports(spark, sf), "conv_id", "raw").select("key", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("chars"))
+
+
 @query("SELECT c_custkey, CASE WHEN s = '' THEN 'imported_context' ELSE s END AS name FROM (SELECT c_custkey, trim(left(lower(trim(regexp_replace(c_name || '/' || c_mktsegment, '[^A-Za-z0-9]+', '_', 'g'), '_')), 64), '_') AS s FROM customer)")
 def suggest_package_name(spark, sf):
     return tab(spark, sf, "customer").select("c_custkey", T.suggest_name(F.concat("c_name", F.lit("/"), "c_mktsegment")).alias("name"))
