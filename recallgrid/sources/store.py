@@ -81,6 +81,9 @@ class ParquetStore:
         version = version if version is not None else max(versions, default=None)
         if version not in versions:
             raise NotFound(f"{name} v{version}")
+        fs, p = self._fs(self._path("items", name, version))
+        if not fs.exists(p):  # imported without an item
+            return self.spark.createDataFrame([], ITEMS)
         return self.spark.read.schema(ITEMS).parquet(self._path("items", name, version))
 
     def delete(self, name: str) -> None:
