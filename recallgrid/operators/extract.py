@@ -16,13 +16,15 @@ def _any(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts)
 
 
-def rules(s: Column) -> dict[str, Column]:
-    """Whether each category's rule fires on a sentence."""
-    low = F.lower(s)
+def rules(s: Column, low: Column | None = None) -> dict[str, Column]:
+    """Whether each category's rule fires on a sentence; `low` is the sentence in lower case, where a column has it. Patterns
+    only run on sentences that hold one of their leads."""
+    low = F.lower(s) if low is None else low
     said = lambda words: _any([low.contains(w) for w in words])
+    matches = lambda patterns, leads: _any([said(words) & s.rlike("(?i)" + p) for p, words in zip(patterns, leads, strict=True)])
     return {
-        "identity": _any([s.rlike("(?i)" + p) for p in C.IDENTITY_PATTERNS]),
-        "projects": _any([s.rlike("(?i)" + p) for p in C.PROJECT_PATTERNS]),
+        "identity": matches(C.IDENTITY_PATTERNS, C.IDENTITY_LEADS),
+        "projects": matches(C.PROJECT_PATTERNS, C.PROJECT_LEADS),
         "facts": said(C.FACT_KEYWORDS),
         "decisions": said(C.DECISION_KEYWORDS),
         "open_tasks": said(C.TASK_KEYWORDS) & ~said(C.DONE_WORDS),
@@ -39,12 +41,19 @@ def candidate_sentences(c: Column) -> Column:
 def extract(texts: DataFrame, key: str, text: str, origin: Column | None = None) -> DataFrame:
     """Items of each text: key, category, pos, id, content, confidence, source, origin.
 
-    One pass explodes sentences, tags each with all categories that fire, and drops repeats per text and
-    category, the first staying.
+    Texts are dealt by key once, before any rule runs, so that work is spread whatever the files are and the
+    windows (and joins and groups by key after them) need no further shuffle. One pass explodes sentences (users', or all of them where no user speaks), tags
+    each with all categories that fire, and drops repeats per text and category, the first staying.
+    Arrays are exploded with `outer` and then filtered: for a plain explode the plan tests the array's size and
+    nullness beforehand, which runs all expressions behind it three times.
     """
-    said = texts.select(F.col(key).alias("key"), (origin if origin is not None else F.lit("")).alias("origin"), F.posexplode(candidate_sentences(F.col(text))).alias("spos", "sentence"))
-    fired = F.filter(F.array(*[F.when(on, F.lit(cat)) for cat, on in rules(F.col("sentence")).items()]), lambda x: x.isNotNull())
-    items = said.select("key", "origin", "spos", clean(F.col("sentence")).alias("content"), F.explode(fired).alias("category"))
+    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = texts.select(F.col(key).alias("key"), (origin if origin is not None else F.lit("")).alias("origin"), F.col(text).alias("_text")).repartition(parts, "key")
+    asked = dealt.withColumn("_users", F.flatten(F.transform(user_messages(F.col("_text")), sentences)))
+    said = asked.select("key", "origin", F.posexplode_outer(F.when(F.size("_users") > 0, F.col("_users")).otherwise(sentences(F.col("_text")))).alias("spos", "sentence")).filter("sentence is not null")
+    lowered = said.withColumn("_low", F.lower("sentence"))
+    fired = F.array_compact(F.array(*[F.when(on, F.lit(cat)) for cat, on in rules(F.col("sentence"), F.col("_low")).items()]))
+    items = lowered.select("key", "origin", "spos", "sentence", F.explode_outer(fired).alias("category")).filter("category is not null").select("key", "origin", "spos", clean(F.col("sentence")).alias("content"), "category")
     again = Window.partitionBy("key", "category", F.lower(strip(F.col("content")))).orderBy("spos")
     items = items.withColumn("_r", F.row_number().over(again)).filter("_r = 1")
     table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("category")]
