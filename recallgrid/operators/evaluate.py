@@ -12,11 +12,19 @@ def contains_all(text, keywords):
 
 
 def extraction_coverage(extracted: DataFrame, gold: DataFrame, key: str = "fixture") -> DataFrame:
-    """Share of gold items that some extracted item covers, and of extracted items that cover none."""
-    hit = gold.alias("g").join(extracted.alias("e"), (F.col(f"g.{key}") == F.col(f"e.{key}")) & contains_all(F.col("e.content"), F.col("g.keywords")))
-    covered = hit.groupBy(f"g.{key}").agg(F.countDistinct("g.gold_idx").alias("covered"), F.countDistinct("e.id").alias("matched"))
-    base = gold.groupBy(key).agg(F.count("*").alias("gold")).join(extracted.groupBy(key).agg(F.count("*").alias("extracted")), key, "left").fillna(0, ["extracted"])
-    out = base.join(covered, key, "left").fillna(0, ["covered", "matched"])
+    """Share of gold items that some extracted item covers, and of extracted items that cover none.
+
+    A text's gold items, which are few, make one list; its extracted items meet that once and are counted where they meet it.
+    """
+    golds = gold.groupBy(key).agg(F.count("*").alias("gold"), F.collect_list(F.struct("gold_idx", "keywords")).alias("golds"))
+    items = extracted.select(key, "id", "content", F.lit(1).alias("one"))
+    hits = F.transform(F.filter("golds", lambda g: contains_all(F.col("content"), g["keywords"])), lambda g: g["gold_idx"])
+    met = golds.join(items, key, "left").select(key, "gold", "id", "one", hits.alias("hits"))
+    # an id that recurs counts once as matched; of a text's items only the distinct lists of what they cover are held
+    by_id = met.groupBy(key, "id").agg(F.first("gold").alias("gold"), F.count("one").alias("n"), F.collect_set(F.when(F.size("hits") > 0, F.col("hits"))).alias("hits"))
+    matched = F.count_if((F.size("hits") > 0) & F.col("id").isNotNull())
+    covered = F.size(F.array_compact(F.array_distinct(F.flatten(F.array_distinct(F.flatten(F.collect_set("hits")))))))
+    out = by_id.groupBy(key).agg(F.first("gold").alias("gold"), F.sum("n").alias("extracted"), matched.alias("matched"), covered.alias("covered"))
     return out.select(key, "gold", "extracted", F.round(F.col("covered") / F.col("gold"), 4).alias("coverage"), F.round(F.when(F.col("extracted") > 0, (F.col("extracted") - F.col("matched")) / F.col("extracted")).otherwise(0.0), 4).alias("unmatched_ratio"))
 
 
