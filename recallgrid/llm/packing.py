@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, worker_cache, written
+from .common import shuffle_parts, small_batches, worker_cache, written
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -30,7 +31,7 @@ PART_PIECES = 50_000
 #: Bins filled less than this are worth an exchange; a partition gives up at most this share of its pieces.
 GAP_FILL, GIVE_UP = 0.995, 0.125
 #: Words kept with their ids in a worker, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 700_000, 48
+CACHE_WORDS, CACHE_BYTES = 350_000, 48
 #: Lower-cased bytes of letters, then of neither letters, digits nor white space.
 WORD_AND_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
 
@@ -102,6 +103,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     end = np.asarray([SEPARATOR_ID], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pa.default_memory_pool().release_unused()  # what earlier operators left in this worker
         words = word_ids(tokenizer_path)
         for b in batches:
             rows = []
@@ -192,7 +194,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, part_pi
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
-    pool = written(pieces, "pieces")
+    with small_batches(pieces.sparkSession):
+        pool = written(pieces, "pieces")
     schema = PIECE_SCHEMA + ", sequence_id long, offset long, settled boolean, part_bins long, part_bound long"
     done: list[DataFrame] = []
     stage = 0
