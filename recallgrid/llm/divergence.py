@@ -171,7 +171,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, terms: int = TERMS) ->
     # a row goes to each pair of blocks that its own is one of, and each such tile has a head with the groups' z
     tile = F.pmod(F.xxhash64("term"), count).cast("int")
     rows = shares.filter("heavy").select("lang", tile.alias("tile"), "term", "g", "p", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("lang", "tile", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "term", "g", "p", "block")
+    none = F.array().cast("array<bigint>")
+    # empty, not null: the Arrow writer goes over all nulls at a column's end again with each row
+    rows = rows.select("lang", "tile", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "term", "g", "p", "block", none.alias("za"), none.alias("zb"))
     sizes = shares.filter("heavy").select("lang", "s", "term", tile.alias("tile")).distinct().groupBy("lang", "s", "tile").agg(F.count("*").alias("terms"))
     heads = sizes.join(zs, "lang").select("lang", "zs", "tile", "terms", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("a"))
     heads = heads.withColumn("b", F.explode(F.sequence(F.col("a"), F.col("blocks") - 1)))
@@ -181,7 +183,6 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, terms: int = TERMS) ->
 
     have = shares.filter("not heavy").groupBy("lang", "g", "p").agg(F.count("*").alias("k")).groupBy("lang", "g").agg(F.collect_list(F.struct("p", "k")).alias("l"))
     each = groups.withColumn("light", F.col("v") - F.col("dense")).join(zs, "lang").join(have, ["lang", "g"], "left")
-    none = F.array().cast("array<bigint>")
     each = each.select("lang", "g", "light", "zs", F.coalesce(F.col("l.p"), none).alias("ps"), F.coalesce(F.col("l.k"), none).alias("ns"))
     singles = each.mapInPandas(single_sums, SUMS)
 
