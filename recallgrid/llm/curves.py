@@ -7,11 +7,13 @@ own range and the two beside it, and looks at the rows of its key window there,
 border. Windows work on coarse codes (a byte a component); their finds merge over the curves, and the best
 are ranked by the exact cosine of the vectors as they are.
 
-Curves come in rounds of ROUND_CURVES. After each, the recall is measured: for a sample of SAMPLE_QUERIES queries
-the true cosines are known from one scan over all rows, and a find counts if it comes up to the last of these.
-Rounds go on until the sample's recall reaches TARGET. Where CODED_ROUNDS are not enough (clusters so dense that
-codes can't tell their rows apart, or too many rows without any structure), whole vectors are looked at instead of
-codes, and windows grow from round to round. Not to reach the recall within MOST_ROUNDS is an error.
+Curves come in rounds of ROUND_CURVES, to whose ranges rows are dealt once. A sample of SAMPLE_QUERIES queries then
+tells how wide windows must be: their true cosines are known from one scan over all rows, a find counts if it comes up
+to the last of these, and the first of the windows in GROWTH by which the sample's recall reaches TARGET is the one that
+all queries look at, once. Where the widest is not enough on codes (clusters so dense that codes can't tell their rows
+apart, or too many rows without any structure), whole vectors are looked at instead, on more curves each round and from
+wider windows on. Not to reach the recall within MOST_ROUNDS is an error. On rows without structure the windows must
+grow with the table, so the cosines taken are a share of all pairs, whatever the curves; the rows dealt and found are not.
 
 Equal vectors are indexed once, with the smallest k + 1 of their ids, so a vector held by a third of all
 rows is one point and a query's ties go to the smallest ids.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,11 +41,13 @@ ROUND_CURVES, PROJECTED, KEY_BITS, SALT_BITS = 8, 8, 6, 15
 #: Rows on either side that a query looks at, the most that this grows to, and rows of a range.
 WINDOW, MOST_WINDOW = 1024, 65_536
 RANGE_WINDOWS = 8
+#: Windows that a round may take, as multiples of its first; a range holds the last.
+GROWTH = (1, 2, 3, 4, 6, RANGE_WINDOWS)
 #: Finds that a window reports and that are ranked exactly, as multiples of k + 1.
 REPORT, RERANK = 4, 8
 #: Recall that the sample must reach, and its queries.
 TARGET, SAMPLE_QUERIES = 0.95, 64
-CODED_ROUNDS, MOST_ROUNDS = 3, 40
+MOST_ROUNDS = 40
 #: Rows that axes are stretched by, and keys that ranges are cut by.
 AXIS_SAMPLE, KEY_SAMPLE, KNOTS = 4096, 100_000, 513
 TASK_ROWS = 1_000_000
@@ -207,8 +212,8 @@ def sample_recall(points: DataFrame, best: DataFrame, truth: dict[int, tuple[lis
     return sum(min(got[q], n) for q, (_, n, _) in truth.items()) / max(1, sum(n for _, n, _ in truth.values()))
 
 
-def window_search(points: DataFrame, n: int, curves: Curves, count: int, k: int, window: int, whole: bool = False) -> DataFrame:
-    """Finds (q, v, score of the codes, or of whole vectors) of every query within its key windows on `count` curves."""
+def deal_rows(points: DataFrame, n: int, curves: Curves, count: int, window: int, whole: bool = False) -> DataFrame:
+    """Rows in the ranges of `count` curves, with codes or whole vectors; a query also where its widest window reaches, from the window `least` on."""
     spark = points.sparkSession
     # plain values, as workers have no module to unpickle a class from: a few projections, and KNOTS a curve and axis
     shared = spark.sparkContext.broadcast((curves.turn, curves.knots, curves.shift, curves.axes))
@@ -250,20 +255,26 @@ def window_search(points: DataFrame, n: int, curves: Curves, count: int, k: int,
                 block = np.searchsorted(keys_[at[1:-1]], key, side="right")
                 place = np.searchsorted(keys_, key, side="right")
                 # a query is a guest where its window reaches over the border, by its place among the sample's keys
-                reach = (1.5 * window * len(keys_) / n) + (8 if len(keys_) < n else 0)
-                rows, spot, guest = [np.arange(len(b))], [block], [np.zeros(len(b), bool)]
+                slack = 8 if len(keys_) < n else 0
+                rows, spot, guest, least = [np.arange(len(b))], [block], [np.zeros(len(b), bool)], [np.zeros(len(b), np.int64)]
                 for step in (-1, 1):
                     far = np.abs(place - at[block + (step > 0)])
-                    on = who[((block + step >= 0) & (block + step < ranges) & (far <= reach))[who]]
+                    need = np.ceil(np.maximum(0, far - slack) * n / (1.5 * len(keys_))).astype(np.int64)
+                    on = who[((block + step >= 0) & (block + step < ranges) & (need <= GROWTH[-1] * window))[who]]
                     rows.append(on)
                     spot.append(block[on] + step)
                     guest.append(np.ones(len(on), bool))
+                    least.append(need[on])
                 at = np.concatenate(rows)
-                yield pd.DataFrame({"spot": np.concatenate(spot) + i * ranges, "guest": np.concatenate(guest), "key": key[at], "v": v[at], "query": asks[at], "size": size[at].astype(np.float32), "code": codes[at]})
+                yield pd.DataFrame({"spot": np.concatenate(spot) + i * ranges, "guest": np.concatenate(guest), "least": np.concatenate(least), "key": key[at], "v": v[at], "query": asks[at], "size": size[at].astype(np.float32), "code": codes[at]})
 
     parts = max(1, min(count * ranges, max(shuffle_parts(spark), count * n // TASK_ROWS)))
-    dealt = points.select("v", "vec", "query").mapInPandas(deal, "spot long, guest boolean, key long, v long, query boolean, size float, code binary")
-    dealt = dealt.repartition(parts, "spot").sortWithinPartitions("spot", "guest", "key", "v")
+    dealt = points.select("v", "vec", "query").mapInPandas(deal, "spot long, guest boolean, least long, key long, v long, query boolean, size float, code binary")
+    return dealt.repartition(parts, "spot").sortWithinPartitions("spot", "guest", "key", "v")
+
+
+def window_search(dealt: DataFrame, k: int, windows: list[int], only: list[int] | None = None, whole: bool = False) -> DataFrame:
+    """Finds (q, v, score of the codes, or of whole vectors, window) of every query, or of only some, within each of these key windows on all curves."""
     most = REPORT * (k + 1)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,18 +284,21 @@ def window_search(points: DataFrame, n: int, curves: Curves, count: int, k: int,
             guest, asks = b["guest"].to_numpy(bool), b["query"].to_numpy(bool)
             code = np.frombuffer(b"".join(b["code"]), dtype=np.float64 if whole else np.int8).reshape(len(b), -1)
             code = code if whole else code.astype(np.float32)
-            v, key, size = b["v"].to_numpy(np.int64), b["key"].to_numpy(np.int64), b["size"].to_numpy(np.float64)
+            v, key, size, least = b["v"].to_numpy(np.int64), b["key"].to_numpy(np.int64), b["size"].to_numpy(np.float64), b["least"].to_numpy(np.int64)
             n = int((~guest).sum())
             out = []
-            for j in np.flatnonzero(asks):
+            for j in np.flatnonzero(asks if only is None else asks & np.isin(v, only)):
                 # a row's own place, or where a guest's key would stand
                 at = j if j < n else int(np.searchsorted(key[:n], key[j]))
-                lo, hi = max(0, at - window), min(n, at + window + 1)
-                s = (code[lo:hi] @ code[j]).astype(np.float64) * size[lo:hi] * size[j]
-                top = np.argpartition(-s, most - 1)[:most] if len(s) > most else np.arange(len(s))
-                out.append((np.full(len(top), v[j]), v[lo + top], s[top]))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-            return pd.DataFrame(dict(zip(("q", "v", "score"), cols)))
+                for window in windows:
+                    if least[j] > window:
+                        continue
+                    lo, hi = max(0, at - window), min(n, at + window + 1)
+                    s = (code[lo:hi] @ code[j]).astype(np.float64) * size[lo:hi] * size[j]
+                    top = np.argpartition(-s, most - 1)[:most] if len(s) > most else np.arange(len(s))
+                    out.append((np.full(len(top), v[j]), v[lo + top], s[top], np.full(len(top), window)))
+            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)]
+            return pd.DataFrame(dict(zip(("q", "v", "score", "window"), cols)))
 
         for b in batches:
             spot = b["spot"].to_numpy(np.int64)
@@ -300,7 +314,7 @@ def window_search(points: DataFrame, n: int, curves: Curves, count: int, k: int,
         if held:
             yield look(pd.concat(held, ignore_index=True))
 
-    return dealt.mapInPandas(search, FOUND)
+    return dealt.mapInPandas(search, FOUND + ", window long")
 
 
 def search_points(points: DataFrame, k: int, target: float = TARGET, window: int = WINDOW, round_curves: int = ROUND_CURVES) -> DataFrame:
@@ -310,24 +324,31 @@ def search_points(points: DataFrame, k: int, target: float = TARGET, window: int
     axis = points.orderBy(F.xxhash64("v", F.lit(1)), "v").limit(AXIS_SAMPLE).select("vec").collect()
     sample = unit(np.array([r["vec"] for r in axis], dtype=np.float64))
     rank = Window.partitionBy("q").orderBy(F.desc("score"), "v")
-    best, first = None, 0
+    best, recall = None, 0.0
+
+    def merged(found: DataFrame) -> DataFrame:
+        found = found.select("q", "v", "score") if best is None else found.select("q", "v", "score").unionByName(best)
+        return found.groupBy("q", "v").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= RERANK * (k + 1)).drop("r")
+
     for done in range(MOST_ROUNDS):
-        whole = done >= CODED_ROUNDS
-        if done >= CODED_ROUNDS:
+        whole = done > 0
+        if whole:
             window = min(MOST_WINDOW, 2 * window)
-        if done == CODED_ROUNDS:
-            best = None  # scores of codes and of vectors don't mix
-        found = window_search(points, n, Curves(sample, first, round_curves), round_curves, k, window, whole)
-        before = best
-        merged = found if best is None else found.unionByName(best)
-        merged = merged.groupBy("q", "v").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= RERANK * (k + 1)).drop("r")
-        best = written(merged, "ann-finds")
-        if before is not None:
-            remove(points.sparkSession, before)
-        recall = sample_recall(points, best, truth, k)
+        dealt = deal_rows(points, n, Curves(sample, done * round_curves, round_curves), round_curves, window, whole).persist(StorageLevel.DISK_ONLY)
+        windows = [window * x for x in GROWTH if x == 1 or window * (x - 1) < n]
+        tried = written(window_search(dealt, k, windows, list(truth), whole), "ann-tried")  # of SAMPLE_QUERIES queries
+        for wide in windows:
+            recall = sample_recall(points, merged(tried.filter(F.col("window") == wide)), truth, k)
+            if recall >= target:
+                break
+        remove(points.sparkSession, tried)
+        if whole or recall >= target:  # scores of codes and of vectors don't mix
+            before, best = best, written(merged(window_search(dealt, k, [wide], None, whole)), "ann-finds")
+            if before is not None:
+                remove(points.sparkSession, before)
+        dealt.unpersist()
         if recall >= target:
             return best
-        first += round_curves
     raise RuntimeError(f"a recall of {recall:.3f} is reached after {MOST_ROUNDS} rounds of {round_curves} curves, not {target}")
 
 
