@@ -13,7 +13,8 @@ to the last of these, and the first of the windows in GROWTH by which the sample
 all queries look at, once. Where the widest is not enough on codes (clusters so dense that codes can't tell their rows
 apart, or too many rows without any structure), whole vectors are looked at instead, on more curves each round and from
 wider windows on. Not to reach the recall within MOST_ROUNDS is an error. On rows without structure the windows must
-grow with the table, so the cosines taken are a share of all pairs, whatever the curves; the rows dealt and found are not.
+grow with the table, so the cosines taken are a share of all pairs, whatever the curves; rows are dealt once a round, and
+rounds are few as each starts with twice the window of the one before.
 
 Equal vectors are indexed once, with the smallest k + 1 of their ids, so a vector held by a third of all
 rows is one point and a query's ties go to the smallest ids.
