@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard self-join by vertical partitioning.
 
 Words are lower-cased (A-Z) runs of other than ASCII white space; a document's set holds the hashes of its
-n-word shingles. Shingles have one global order: by how often they occur (levels of a sketch of fixed
-size, counted over all documents; rare first), then by hash. Two documents at or over the threshold share
+n-word shingles. Shingles have one global order: by how often they occur (rare first; levels of the KEPT_CELLS most frequent of
+2**CELL_BITS cells of hashes, counted over all documents; all others share one level), then by hash. Two documents at or over the threshold share
 a shingle within their prefixes of that order, and the first they share leaves room for the overlap
 needed (prefix, size and position filters; none loses a pair).
 
@@ -14,7 +14,9 @@ needed (prefix, size and position filters; none loses a pair).
    order, into FRAGMENTS, which are dealt to tasks each for itself; a task counts the overlaps of pairs in its fragment alone,
    and the partial counts are summed per pair. Fragments carry DIGEST_BYTES of each shingle's hash.
 4. Linked sets are joined to components (large star, small star). Where long lists still hold sets of
-   different components, these lists' sets form regions; all of a region but its largest component is
+   different components, those of up to PAIR_LIST sets give all pairs across components that pass the filters, which are verified like
+   the others: lists that have single sets in common chain most of a large table together, and such a chain is not compared with itself.
+   The sets of still longer lists form regions; all of a region but its largest component is
    compared, block by block, with the whole region over an index of the block's shingles, one fragment after the
    other in the block's task (partial counts of all pairs would grow with the square of a region), and the components
    are joined again. Only links that join components come out, so no link between components is missed, and no
@@ -45,10 +47,18 @@ NUM, DEN = 75, 100
 FRAGMENTS = 4
 #: Two shingles of a pair that differ pass for equal in 2**48 cases: for two sets of 20,000 at odds of about one in a million.
 DIGEST_BYTES = 6
-SKETCH_BITS, BLOCK_BITS = 22, 16
+#: Cells that shingles are counted in, those of a block that one task sums, and the most that get a level of their own. With 2**22
+#: cells for all levels, tables of hundreds of millions of shingles had no order: every cell held as much as any other.
+CELL_BITS, BLOCK_BITS, KEPT_CELLS = 28, 20, 1 << 21
+#: Cells that a task holds before it sends them on.
+FLUSH_CELLS = 4_000_000
 BLOOM_BITS = 25
 #: Sets that a shingle's list pairs outright, and neighbours in the chain of a longer one.
 SMALL_LIST, CHAIN = 8, 2
+#: Sets of a list whose pairs across components are verified one by one; longer lists' sets are compared by regions.
+PAIR_LIST = 128
+#: In the sizes of a long list: the set may be the smaller of a pair.
+EARLY = 1 << 31
 #: Postings of a bucket, and of a task before it sends them on.
 BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 250_000
 #: Spokes of a hub that one task compares at a time, and shingles in a block of a region.
@@ -123,77 +133,119 @@ def prefix_len(n: int, num: int = NUM, den: int = DEN) -> int:
 
 
 class Order:
-    """The global order: level of a shingle's sketch cell, then its hash; and its cuts into fragments."""
+    """The global order: level of a shingle's cell (0 unless it is kept), then its hash; and its cuts into fragments."""
 
-    def __init__(self, levels: np.ndarray, weights: np.ndarray):
-        self.levels = levels
+    def __init__(self, cells: np.ndarray, levels: np.ndarray, weights: np.ndarray):
+        self.cells, self.levels = cells, levels
         self.before = np.concatenate([[0.0], np.cumsum(weights)[:-1]])
         self.weights = weights
         self.total = max(1.0, float(weights.sum()))
 
     def level(self, s: np.ndarray) -> np.ndarray:
-        return self.levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        if not len(self.cells):
+            return np.zeros(len(s), dtype=np.uint8)
+        cell = (s >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
+        i = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        return np.where(self.cells[i] == cell, self.levels[i], np.uint8(0))
 
     def sort(self, s: np.ndarray) -> np.ndarray:
         return s[np.lexsort((s, self.level(s)))]
 
     def fragment(self, s: np.ndarray, fragments: int = FRAGMENTS) -> np.ndarray:
         level = self.level(s)
-        # within a level by the part of the hash under the sketch cell's bits, which orders like the hash inside a cell
+        # within a level by the hash
         at = (self.before[level] + self.weights[level] * (s.astype(np.float64) / 2.0**64)) / self.total
         return np.minimum((at * fragments).astype(np.int64), fragments - 1)
 
 
+def pack_cells(cells: np.ndarray) -> list[tuple[int, bytes]]:
+    """Per block: the places of its cells, one for each shingle, as steps from place to place, low bytes first."""
+    cells = np.sort(cells)
+    at = np.flatnonzero(np.diff(cells >> BLOCK_BITS, prepend=np.uint32(0xFFFFFFFF)))
+    place = cells & np.uint32((1 << BLOCK_BITS) - 1)
+    out = []
+    for x, i in zip(np.split(place, at[1:]), at.tolist()):
+        steps = np.diff(x, prepend=np.uint32(0)).astype("<u4")
+        out.append((int(cells[i] >> BLOCK_BITS), zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
+    return out
+
+
+def unpack_cells(data: bytes) -> np.ndarray:
+    """Places of a block's cells, one for each shingle."""
+    raw = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view("<u4").reshape(-1), dtype=np.int64)
+
+
 def scan_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """A row per document (doc_id, th, sid, n), and rows that carry each task's sketch of its sets."""
+    """A row per document (doc_id, th, sid, n), and rows that carry the cells of each task's sets."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache().clear()  # what earlier operators left in this worker
-        cells = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        count = 0
+
+        def flush() -> pd.DataFrame:
+            blobs = pack_cells(np.concatenate(held))
+            held.clear()
+            return pd.DataFrame({"doc_id": None, "th": None, "sid": None, "n": None, "block": [i for i, _ in blobs], "cells": [x for _, x in blobs]})
+
         for b in batches:
-            rows, parts = [], []
+            rows = []
             for doc_id, th, text in zip(b["doc_id"].tolist(), b["th"].tolist(), b["text"]):
                 s = shingles(text, words)
                 sid = set_id(s)
                 rows.append((doc_id, th, sid, len(s)))
-                if sid not in seen:
+                if sid and sid not in seen:
                     seen.add(sid)
-                    parts.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-            if parts:
-                at, n = np.unique(np.concatenate(parts), return_counts=True)
-                cells[at] += n.astype(np.uint32)
+                    held.append((s >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
+                    count += len(s)
             out = pd.DataFrame(rows, columns=["doc_id", "th", "sid", "n"])
             out["block"], out["cells"] = None, None
             yield out
-        # per block of cells that counted anything: their places and counts
-        on = np.flatnonzero(cells)
-        cut = np.flatnonzero(np.diff(on >> BLOCK_BITS, prepend=-1))
-        blobs = [(int(x[0] >> BLOCK_BITS), zlib.compress((x & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes() + cells[x].astype("<u4").tobytes(), 1)) for x in np.split(on, cut[1:]) if len(x)]
-        yield pd.DataFrame({"doc_id": None, "th": None, "sid": None, "n": None, "block": [i for i, _ in blobs], "cells": [x for _, x in blobs]})
+            if count >= FLUSH_CELLS:
+                yield flush()
+                count = 0
+        if held:
+            yield flush()
 
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
     return docs.select(ids, F.xxhash64("text").alias("th"), "text").mapInPandas(scan, "doc_id long, th long, sid long, n long, block int, cells binary")
 
 
-def global_order(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sum the tasks' sketches; what comes to the driver is 2**SKETCH_BITS levels of a byte, whatever the input."""
+def global_order(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum the tasks' cells; what comes to the driver is at most KEPT_CELLS cells of five bytes, whatever the input.
+
+    Of each block those cells are kept that hold most, down to the least count (2 or more) that all fit of.
+    """
+    most = max(1, KEPT_CELLS >> (CELL_BITS - BLOCK_BITS))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << BLOCK_BITS, dtype=np.uint64)
+        total = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+        held, count = [], 0
         for c in pdf["cells"]:
-            raw = zlib.decompress(c)
-            n = len(raw) // 6
-            total[np.frombuffer(raw[: 2 * n], dtype="<u2")] += np.frombuffer(raw[2 * n :], dtype="<u4")
-        level = np.minimum(np.floor(4 * np.log2(total + 1.0)), 255).astype(np.uint8)
-        weights = np.bincount(level, weights=total.astype(np.float64), minlength=256)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "levels": [level.tobytes()], "weights": [weights.tobytes()]})
-
-    levels, weights = np.zeros(1 << SKETCH_BITS, dtype=np.uint8), np.zeros(256)
-    for r in scanned.filter("block is not null").select("block", "cells").groupBy("block").applyInPandas(add, "block int, levels binary, weights binary").collect():
-        levels[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["levels"], dtype=np.uint8)
+            held.append(unpack_cells(c))
+            count += len(held[-1])
+            if count >= len(total):
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held, count = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        some = np.sort(total[total > 1])
+        least = 2 if len(some) <= most else int(some[-most - 1]) + 1
+        kept = np.flatnonzero(total >= least)
+        level = np.minimum(np.floor(4 * np.log2(total[kept])), 255).astype(np.uint8)  # 2 gives 4
+        weights = np.bincount(level, weights=total[kept].astype(np.float64), minlength=256)
+        weights[0] = total.sum() - total[kept].sum()
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "places": [kept.astype("<u4").tobytes()], "levels": [level.tobytes()], "weights": [weights.tobytes()]})
+
+    cells, levels, weights = [np.empty(0, np.uint32)], [np.empty(0, np.uint8)], np.zeros(256)
+    found = scanned.filter("block is not null").select("block", "cells").groupBy("block").applyInPandas(add, "block int, places binary, levels binary, weights binary").collect()
+    for r in sorted(found, key=lambda r: r["block"]):
+        cells.append(np.frombuffer(r["places"], dtype="<u4") + np.uint32(r["block"] << BLOCK_BITS))
+        levels.append(np.frombuffer(r["levels"], dtype=np.uint8))
         weights += np.frombuffer(r["weights"])
-    return levels, weights
+    return np.concatenate(cells), np.concatenate(levels), weights
 
 
 def pack_postings(sids: np.ndarray, ns: np.ndarray, doc: np.ndarray, tokens: np.ndarray, place: np.ndarray) -> bytes:
@@ -266,7 +318,7 @@ def _passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def list_pairs(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
-    """Candidate pairs of one bucket, and its long lists (id, place, sets, sizes), cut to LIST_ROWS, for the check across components."""
+    """Candidate pairs of one bucket, and its long lists (id, place, sets, sizes with EARLY), cut to LIST_ROWS, for the check across components."""
     rec = rec[np.lexsort((rec["s"], rec["n"], rec["t"]))]
     keep = np.ones(len(rec), dtype=bool)
     keep[1:] = (rec["t"][1:] != rec["t"][:-1]) | (rec["s"][1:] != rec["s"][:-1])
@@ -296,9 +348,12 @@ def list_pairs(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int,
         a, b = a[_passes(a, np.broadcast_to(g[hub], a.shape))], b[_passes(np.broadcast_to(g[hub], b.shape), b)]
         left += [a["s"], np.full(len(b), g["s"][hub])]
         right += [np.full(len(a), g["s"][hub]), b["s"]]
+        sizes = g["n"] | np.where(early, np.uint32(EARLY), np.uint32(0))
         with np.errstate(over="ignore"):
-            ident = int(mixed(np.array([rank.sum() + np.uint64(n)], dtype=np.uint64))[0] >> np.uint64(1))
-        long_lists += [(ident, i, g["s"][i : i + LIST_ROWS], g["n"][i : i + LIST_ROWS]) for i in range(0, n, LIST_ROWS)]
+            # lists of the same sets are one if the same sets are early in them
+            total = rank.sum() + (mixed(rank[early]).sum() if n <= PAIR_LIST else np.uint64(0)) + np.uint64(n)
+            ident = int(mixed(np.array([total], dtype=np.uint64))[0] >> np.uint64(1))
+        long_lists += [(ident, i, g["s"][i : i + LIST_ROWS], sizes[i : i + LIST_ROWS]) for i in range(0, n, LIST_ROWS)]
     a, b = np.concatenate(left or [np.empty(0, np.int64)]), np.concatenate(right or [np.empty(0, np.int64)])
     pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
     return pair[:, 0], pair[:, 1], long_lists
@@ -517,21 +572,44 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     return named.unionByName(named.select(F.col("label").alias("node"), "label").distinct())
 
 
-def regions(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """sid, n, label, region of the sets in long lists that hold more than one component."""
+def list_rows(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """gid, part, sid, n, early, label of the sets of long lists."""
     one = lists.groupBy("gid", "part").agg(F.first(F.struct("sets", "sizes")).alias("l")).select("gid", "part", "l.sets", "l.sizes")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for gid, part, s, n in zip(b["gid"].tolist(), b["part"].tolist(), b["sets"], b["sizes"]):
-                yield pd.DataFrame({"gid": gid, "part": part, "sid": np.frombuffer(s, dtype="<i8"), "n": np.frombuffer(n, dtype="<u4").astype(np.int64)})
+            if not len(b):
+                continue
+            many = [len(x) // 8 for x in b["sets"]]
+            n = np.frombuffer(b"".join(b["sizes"]), dtype="<u4").astype(np.int64)
+            yield pd.DataFrame({"gid": np.repeat(b["gid"].to_numpy(np.int64), many), "part": np.repeat(b["part"].to_numpy(np.int64), many), "sid": np.frombuffer(b"".join(b["sets"]), dtype="<i8"), "n": n & (EARLY - 1), "early": n >= EARLY})
+
+    rows = one.mapInPandas(unpack, "gid long, part long, sid long, n long, early boolean")
+    rows = rows.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("gid", "part", "sid", "n", "early", F.coalesce("label", "sid").alias("label"))
+    return written(rows, "ngram-lists")
+
+
+def mixed_lists(rows: DataFrame) -> DataFrame:
+    """gid, hub (its smallest set), sets of the lists that hold more than one component."""
+    found = rows.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("sid").alias("hub"), F.count("*").alias("sets"))
+    return found.filter("x < y").select("gid", "hub", "sets")
+
+
+def list_candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that lists of up to PAIR_LIST sets hold and that may pass the size and position filters."""
+    held = rows.join(mixed_lists(rows).filter(F.col("sets") <= PAIR_LIST).select("gid"), "gid").select("gid", "sid", "n", "early", "label")
+    x, y = (held.select("gid", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "early", "label")]) for k in ("x", "y"))
+    # x is not the larger: it is early in its prefix, and so is y if they are as large
+    before = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("sid_x") < F.col("sid_y")) & F.col("early_y"))
+    room = F.lit(DEN) * F.col("n_x") >= F.lit(NUM) * F.col("n_y")
+    met = x.filter("early_x").join(y, "gid").filter((F.col("label_x") != F.col("label_y")) & before & room)
+    return met.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct()
+
 
-    rows = one.mapInPandas(unpack, "gid long, part long, sid long, n long")
-    rows = rows.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("gid", "part", "sid", "n", F.coalesce("label", "sid").alias("label"))
-    rows = written(rows, "ngram-lists")
-    mixed_lists = rows.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("sid").alias("hub")).filter("x < y").select("gid", "hub")
+def regions(rows: DataFrame) -> DataFrame:
+    """sid, n, label, region of the sets in lists of over PAIR_LIST sets that hold more than one component."""
     # a list's parts meet its hub apart from each other
-    hubs = rows.select("gid", "part").distinct().join(mixed_lists, "gid")
+    hubs = rows.select("gid", "part").distinct().join(mixed_lists(rows).filter(F.col("sets") > PAIR_LIST), "gid")
     held = rows.join(hubs, ["gid", "part"]).select("sid", "n", "label", "hub").distinct()
     held = written(held, "ngram-held")
     region = components(held.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
@@ -620,8 +698,7 @@ def _link(docs: DataFrame, words: int) -> DataFrame:
     parts = shuffle_parts(spark)
     scanned = written(scan_sets(docs, words), "ngram-sets")
     sets = scanned.filter("block is null").select("doc_id", "th", "sid", "n")
-    levels, weights = global_order(scanned)
-    order = spark.sparkContext.broadcast((levels, weights))  # 2**SKETCH_BITS bytes
+    order = spark.sparkContext.broadcast(global_order(scanned))  # at most five bytes for each of KEPT_CELLS
     total = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(parts, -(-total // (4 * BUCKET_POSTINGS)))
     reps = written(sets.filter("sid <> 0").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("sid", "r.doc_id", "r.th"), "ngram-reps")
@@ -631,10 +708,18 @@ def _link(docs: DataFrame, words: int) -> DataFrame:
     labels = written(components(edges), "ngram-labels")
     lists = found.filter("gid is not null").select("gid", "part", "sets", "sizes")
     if lists.head(1):
-        members = regions(lists, labels)
+        rows = list_rows(lists, labels)
+        more = []
+        pairs = written(list_candidates(rows), "ngram-list-pairs")
+        if pairs.head(1):
+            more.append(written(verify(pairs, docs, reps, order, words), "ngram-edges"))
+        members = regions(rows)
         if members.head(1):
-            more = across_components(members, docs, reps, order, words)
-            labels = written(components(written(edges.unionByName(more), "ngram-edges")), "ngram-labels")
+            more.append(written(across_components(members, docs, reps, order, words), "ngram-edges"))
+        for x in more:
+            edges = edges.unionByName(x)
+        if more:
+            labels = written(components(edges), "ngram-labels")
     whole = reps.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
     least = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = written(whole.join(least, "label").select("sid", "label", "component_id"), "ngram-named")
